@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries import table
-from . import encoding, packing, splitting
+from . import duplicates, encoding, packing, splitting, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,27 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEYS = ["record_table", "record_key"]
 
 
+def _p3_neighbours(s: SparkSession, d: str) -> DataFrame:
+    found = vectors.neighbours(table(s, d, "chunk_vectors"), "chunkId", "embeddingVector", "embeddingModel", k=5, least=0.84, dimension=64)
+    return found.withColumnsRenamed({"space": "embeddingModel", "key": "chunkId"})
+
+
+def _p3_found(s: SparkSession, d: str) -> DataFrame:
+    return vectors.neighbour_pairs(_p3_neighbours(s, d).withColumnRenamed("chunkId", "key"))
+
+
+def _spaces(s: SparkSession, d: str) -> DataFrame:
+    return records(s, d).select(F.col("record_table").alias("space"), F.col("record_key").alias("key"), "text")
+
+
+def _p5_found(s: SparkSession, d: str) -> DataFrame:
+    return duplicates.pairs(_spaces(s, d), 0.6, 3).select(F.col("space").alias("record_table"), "key_a", "key_b")
+
+
+def _p5_groups(s: SparkSession, d: str) -> DataFrame:
+    return duplicates.groups(_spaces(s, d), 0.6, 3).withColumnsRenamed({"space": "record_table", "key": "record_key"})
+
+
 def _p6_found(s: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(splitting.split(records(s, d), KEYS, "text", with_text=False), KEYS)
 
@@ -45,6 +66,10 @@ def _p9_containers(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p3_found": _p3_found,
+        "p3_neighbours": _p3_neighbours,
+        "p5_found": _p5_found,
+        "p5_groups": _p5_groups,
         "p6_found": _p6_found,
         "p6_pieces": _p6_pieces,
         "p8_ids": _p8_ids,
