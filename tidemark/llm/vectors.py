@@ -89,7 +89,7 @@ def _unpack(blobs: list[bytes], dimension: int) -> np.ndarray:
 
 def neighbours(
     vectors: DataFrame, key: str, vector: str, space: str, k: int = 5, least: float = -1.0, dimension: int = 64,
-    probes: int = 8, rerank: int = 32, sample_rows: int = 20_000, per_list: int = 256, most_lists: int = 4096, parts: int = 16, block: int = 4096,
+    probes: int = 12, rerank: int = 128, sample_rows: int = 20_000, per_list: int = 256, most_lists: int = 4096, parts: int = 32, block: int = 4096,
 ) -> DataFrame:
     """``space, key, neighbour, cosine, rank``; the cosine is rounded to 6 decimals."""
     spark = vectors.sparkSession
