@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries import table
-from . import duplicates, encoding, packing, splitting, vectors
+from . import duplicates, encoding, packing, sentences, splitting, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,10 @@ def _p9_containers(s: SparkSession, d: str) -> DataFrame:
     return packing.pack(encoding.token_counts(table(s, d, "documents")), "doc_id", "n_tokens", 2048)
 
 
+def _p10_found(s: SparkSession, d: str) -> DataFrame:
+    return sentences.split(table(s, d, "documents")).select("doc_id", "start_at", "end_at")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p3_found": _p3_found,
@@ -75,6 +79,7 @@ def queries() -> dict[str, Query]:
         "p8_ids": _p8_ids,
         "p8_decoded": _p8_decoded,
         "p9_containers": _p9_containers,
+        "p10_found": _p10_found,
     }
 
 
