@@ -251,29 +251,36 @@ def _filter_of(pairs: DataFrame, spark) -> np.ndarray:
     return out
 
 
-def verify(records: DataFrame, pairs: DataFrame, threshold: float, width: int = 3) -> DataFrame:
-    """``small, large, similarity`` of the pairs that reach the threshold, from the sets themselves."""
-    shared = records.sparkSession.sparkContext.broadcast(_filter_of(pairs, records.sparkSession))
+def item_sets(records: DataFrame, pairs: DataFrame | None = None, width: int = 3) -> DataFrame:
+    """``rid, items`` of the distinct sets of ``space, text``; with ``pairs`` only of those that occur in
+    one (and a few more: the filter that is sent along has a fixed size)."""
+    spark = records.sparkSession
+    shared = spark.sparkContext.broadcast(None if pairs is None else _filter_of(pairs, spark))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()
         for batch in batches:
             for _, _, h, owner, size, rid in _sets(batch.column("space").to_pylist(), batch.column("text").to_pylist(), width):
-                shift = (rid.view(U64) >> U64(FILTER_WORDS.bit_length() - 1)) % U64(64)
-                wanted = (size > 0) & ((bits[rid % FILTER_WORDS].view(U64) >> shift & U64(1)) == 1)
+                wanted = size > 0
+                if bits is not None:
+                    shift = (rid.view(U64) >> U64(FILTER_WORDS.bit_length() - 1)) % U64(64)
+                    wanted &= (bits[rid % FILTER_WORDS].view(U64) >> shift & U64(1)) == 1
                 ends = np.cumsum(size)
                 rids, sets = [], []
                 for i in np.flatnonzero(wanted):
                     if int(rid[i]) not in seen:
                         seen.add(int(rid[i]))
-                        one = h[ends[i] - size[i] : ends[i]] >> U64(24)  # sorted below; 40 bits of each hash
-                        one = np.sort(one)
+                        one = np.sort(h[ends[i] - size[i] : ends[i]] >> U64(24))  # 40 bits of each hash
                         rids.append(int(rid[i]))
                         sets.append((one >> U64(8)).astype(np.uint32).tobytes() + (one & U64(255)).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(sets, pa.binary())], names=["rid", "items"])
 
     sets = records.select("space", "text").mapInArrow(emit, "rid long, items binary")
-    sets = sets.groupBy("rid").agg(F.first("items").alias("items"))
+    return sets.groupBy("rid").agg(F.first("items").alias("items"))
+
+
+def verify(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """``small, large, similarity`` of the pairs that reach the threshold, from the sets themselves."""
     one = pairs.join(sets.withColumnsRenamed({"rid": "small", "items": "small_items"}), "small")
     both = one.join(sets.withColumnsRenamed({"rid": "large", "items": "large_items"}), "large").select("small", "large", "small_items", "large_items")
 
@@ -306,5 +313,5 @@ def links(records: DataFrame, threshold: float, width: int = 3) -> tuple[DataFra
     profiled = profile(records, width)
     order = segment_order(profiled)
     pairs = materialize(candidates(cells(records, order, threshold, width), threshold), "candidates")
-    found = materialize(verify(records, pairs, threshold, width), "links")
+    found = materialize(verify(item_sets(records, pairs, width), pairs, threshold), "links")
     return members(profiled), found

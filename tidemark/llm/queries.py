@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries import table
-from . import duplicates, encoding, packing, sentences, splitting, vectors
+from ..session import shared_dir
+from . import duplicates, encoding, history, packing, sentences, splitting, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +54,11 @@ def _p6_pieces(s: SparkSession, d: str) -> DataFrame:
     return splitting.split(records(s, d).dropDuplicates(KEYS), KEYS, "text")
 
 
+def _p7_found(s: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(s)}/tidemark/index-{uuid.uuid4().hex}"
+    return history.already_known(table(s, d, "chunk_arrivals"), table(s, d, "chunks"), table(s, d, "chunk_vectors"), path)
+
+
 def _p8_ids(s: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(s, d, "documents"))
 
@@ -76,6 +83,7 @@ def queries() -> dict[str, Query]:
         "p5_groups": _p5_groups,
         "p6_found": _p6_found,
         "p6_pieces": _p6_pieces,
+        "p7_found": _p7_found,
         "p8_ids": _p8_ids,
         "p8_decoded": _p8_decoded,
         "p9_containers": _p9_containers,
