@@ -240,9 +240,8 @@ def candidates(stored: DataFrame, threshold: float) -> DataFrame:
     return stored.groupBy("bucket").applyInArrow(join, "small long, large long").distinct()
 
 
-def _filter_of(pairs: DataFrame, spark) -> np.ndarray:
-    """A bit for each rid that occurs in a pair, in a table of fixed size."""
-    rids = pairs.select(F.explode(F.array("small", "large")).alias("rid"))
+def rid_filter(rids: DataFrame) -> np.ndarray:
+    """A bit for each ``rid``, in a table of FILTER_WORDS words: no bit is missing, some are shared."""
     word = F.pmod("rid", F.lit(FILTER_WORDS)).cast("int")
     bit = F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(rid, {FILTER_WORDS.bit_length() - 1}), 64) as int))")
     out = np.zeros(FILTER_WORDS, np.int64)
@@ -255,7 +254,7 @@ def item_sets(records: DataFrame, pairs: DataFrame | None = None, width: int = 3
     """``rid, items`` of the distinct sets of ``space, text``; with ``pairs`` only of those that occur in
     one (and a few more: the filter that is sent along has a fixed size)."""
     spark = records.sparkSession
-    shared = spark.sparkContext.broadcast(None if pairs is None else _filter_of(pairs, spark))
+    shared = spark.sparkContext.broadcast(None if pairs is None else rid_filter(pairs.select(F.explode(F.array("small", "large")).alias("rid"))))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()

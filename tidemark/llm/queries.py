@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..queries import table
 from ..session import shared_dir
-from . import duplicates, encoding, history, packing, sentences, splitting, vectors
+from . import duplicates, encoding, history, packing, sentences, spans, splitting, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,14 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEYS = ["record_table", "record_key"]
 
 
+def _p1_found(s: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(_spaces(s, d), 200).withColumnsRenamed({"space": "record_table", "key": "record_key"})
+
+
+def _p1_amount(s: SparkSession, d: str) -> DataFrame:
+    return spans.shared_amount(_spaces(s, d), 200).withColumnsRenamed({"space": "record_table", "key": "record_key"})
+
+
 def _p3_neighbours(s: SparkSession, d: str) -> DataFrame:
     found = vectors.neighbours(table(s, d, "chunk_vectors"), "chunkId", "embeddingVector", "embeddingModel", k=5, least=0.84, dimension=64)
     return found.withColumnsRenamed({"space": "embeddingModel", "key": "chunkId"})
@@ -77,6 +85,8 @@ def _p10_found(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": _p1_found,
+        "p1_amount": _p1_amount,
         "p3_found": _p3_found,
         "p3_neighbours": _p3_neighbours,
         "p5_found": _p5_found,
