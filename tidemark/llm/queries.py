@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..queries import table
 from ..session import shared_dir
-from . import duplicates, encoding, history, packing, sentences, spans, splitting, vectors
+from . import duplicates, encoding, history, packing, scans, sentences, spans, splitting, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,14 @@ def _spaces(s: SparkSession, d: str) -> DataFrame:
     return records(s, d).select(F.col("record_table").alias("space"), F.col("record_key").alias("key"), "text")
 
 
+def _p4_found(s: SparkSession, d: str) -> DataFrame:
+    return scans.find(table(s, d, "doc_files"), "filePath", "content").withColumnRenamed("line_no", "lineNo")
+
+
+def _p4_repaired(s: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(table(s, d, "doc_files"), "filePath", "content")
+
+
 def _p5_found(s: SparkSession, d: str) -> DataFrame:
     return duplicates.pairs(_spaces(s, d), 0.6, 3).select(F.col("space").alias("record_table"), "key_a", "key_b")
 
@@ -89,6 +97,8 @@ def queries() -> dict[str, Query]:
         "p1_amount": _p1_amount,
         "p3_found": _p3_found,
         "p3_neighbours": _p3_neighbours,
+        "p4_found": _p4_found,
+        "p4_repaired": _p4_repaired,
         "p5_found": _p5_found,
         "p5_groups": _p5_groups,
         "p6_found": _p6_found,
