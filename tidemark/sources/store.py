@@ -39,7 +39,11 @@ class Store:
         path = self._path("_CURRENT")
         if not self._fs(path).exists(path):
             return None
-        return json.loads("".join(r[0] for r in self.spark.read.text(path.toString()).collect()))
+        stream = self._fs(path).open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def location(self, run: str, table: str) -> str:
         return self._path("snapshots", run, table).toString()
@@ -83,7 +87,10 @@ class Store:
         out = fs.create(draft, True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()) if target.toUri().getScheme() else self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.spark._jsc.hadoopConfiguration())
+        conf = self.spark._jsc.hadoopConfiguration()
+        contexts = self.spark._jvm.org.apache.hadoop.fs.FileContext
+        named = target.toUri().getScheme()
+        context = contexts.getFileContext(target.toUri(), conf) if named else contexts.getFileContext(conf)
         rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
         options = self.spark.sparkContext._gateway.new_array(rename, 1)
         options[0] = rename.OVERWRITE
