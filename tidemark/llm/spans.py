@@ -88,21 +88,22 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _seeds(classed: DataFrame, length: int, mer: int, buckets: int) -> DataFrame:
-    """``bucket, blob`` of ``cls, text``; a task works on each class once."""
+    """``bucket, blob`` of ``cls, text, salt``; a task works on each class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            cls, texts = [], []
-            for c, t in zip(batch.column("cls").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            cls, texts, salts = [], [], []
+            for c, t, salt in zip(batch.column("cls").to_pylist(), batch.column("text").to_pylist(), batch.column("salt").to_pylist(), strict=True):
                 if c not in seen:
                     seen.add(c)
-                    cls.append(c), texts.append(t)
+                    cls.append(c), texts.append(t), salts.append(salt)
             for a, b in k.slices(texts):
                 who, at, seed, lo, hi, context = minimizers(texts[a:b], length, mer)
                 if not len(who):
                     continue
                 own = np.array(cls[a:b], np.int64)
+                seed = seed ^ np.array(salts[a:b], np.int64).view(U64)[who]  # spaces keep to themselves
                 bucket = ((k.mix(seed) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 numbers, heads = np.unique(bucket[by], return_index=True)
@@ -117,13 +118,19 @@ def _seeds(classed: DataFrame, length: int, mer: int, buckets: int) -> DataFrame
 
 def _star(group: np.ndarray, cls: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Matches (cls, at, cls, at) inside groups, given sorted by group, class and place: each occurrence
-    with the group's first, those of the first class with the group's last."""
+    with one of the group's first class, those of the first class with one of the last. A class that has
+    the group several times is matched in turn, so that periodic texts stay on few diagonals."""
     if not len(group):
         return np.empty((0, 4), np.int64)
     heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff([*heads, len(group)])
     first, last = np.repeat(heads, size), np.repeat(heads + size - 1, size)
-    partner = np.where(cls == cls[first], last, first)
+    block = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (cls[1:] != cls[:-1])]))
+    length = np.diff([*block, len(group)])
+    start, count = np.repeat(block, length), np.repeat(length, length)
+    turn = np.arange(len(group)) - start
+    side = np.where(cls == cls[first], last, first)
+    partner = start[side] + turn % count[side]
     ok = cls != cls[partner]
     i, j = np.flatnonzero(ok), partner[ok]
     swap = cls[i] > cls[j]
@@ -153,11 +160,16 @@ def _match_bucket(blobs: list[bytes]) -> pa.Table:
     group = np.cumsum(new) - 1
     links = _star(group, cls, at)
     head = np.flatnonzero(new)
-    # a seed in more than one surrounding: the first and the last class of each, so that whatever class
-    # stands in another surrounding meets a different one
-    many = np.bincount(number[head], minlength=1)[number[head]] > 1 if len(head) else np.empty(0, bool)
+    # A seed in more than one surrounding: of a surrounding of several classes the first and the last
+    # class, so that any other class meets a different one; else all occurrences.
     tail = np.concatenate([head[1:], [len(cls)]]) - 1
-    edge = np.concatenate([head[many], tail[many & (cls[tail] != cls[head])]])
+    edge = np.empty(0, np.int64)
+    if len(head):
+        many = (np.bincount(number[head])[number[head]] > 1)[group]
+        mixed = (cls[tail] != cls[head])[group]
+        ends = np.zeros(len(cls), bool)
+        ends[head] = ends[tail] = True
+        edge = np.flatnonzero(many & (~mixed | ends))
     lo, n = at[edge] - before[edge], len(edge)
     fill = np.zeros(len(links), np.int64)
     return pa.table(
@@ -179,8 +191,9 @@ def _match_windows(rows: pa.Table, length: int) -> pa.Table:
     texts = rows.column("context").to_pylist()
     links = []
     cls, at, lo, hi = (rows.column(c).to_numpy() for c in ("a", "at_a", "lo", "hi"))
-    order = np.argsort(rows.column("seed").to_numpy(), kind="stable")
-    seeds = rows.column("seed").to_numpy()[order]
+    owners = rows.column("seed").to_numpy().view(U64)
+    order = np.argsort(owners, kind="stable")
+    seeds = owners[order]
     # slices end between seeds, so that a seed's surroundings are compared in one
     ends = [*np.flatnonzero(seeds[1:] != seeds[:-1]) + 1, len(seeds)]
     begin = 0
@@ -194,8 +207,8 @@ def _match_windows(rows: pa.Table, length: int) -> pa.Table:
         _, down = k.powers(len(cp))
         count = (hi - lo)[part] + 1
         first = np.repeat(starts[:-1], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        value = k.mix((h[first + length] - h[first]) * down[first])
         who = np.repeat(part, count)
+        value = k.mix(((h[first + length] - h[first]) * down[first]) ^ owners[who])
         by = np.lexsort((at[who], cls[who], value))
         links.append(_star(value[by], cls[who[by]], at[who[by]]))
     found = np.unique(np.concatenate(links), axis=0) if links else np.empty((0, 4), np.int64)
@@ -227,30 +240,33 @@ class Fenwick:
 
 def chain(a: list[int], b: list[int], gain: float, gap_cost: float, most_gap: int) -> list[list[int]]:
     """Numbers of the matches by chain, best chain first, until every match is in one. Along a chain both
-    places rise; a step costs ``gap_cost`` for each code point it spans in either text."""
-    left, out = sorted(range(len(a)), key=lambda i: (a[i], b[i])), []
-    while left:
-        ranks = {v: r for r, v in enumerate(sorted({b[i] for i in left}))}
-        tree, score, before = Fenwick(len(ranks)), {}, {}
-        waiting: list[int] = []
-        for n, i in enumerate(left):
-            if n and a[left[n - 1]] != a[i]:  # matches of one place in a do not follow each other
-                for j in waiting:
-                    tree.put(ranks[b[j]], score[j] + gap_cost * (a[j] + b[j]), j)
-                waiting = []
-            value, j = tree.get(ranks[b[i]])
-            value -= gap_cost * (a[i] + b[i])
-            joined = j >= 0 and value > 0 and a[i] - a[j] <= most_gap and b[i] - b[j] <= most_gap
-            score[i], before[i] = gain + (value if joined else 0), j if joined else -1
-            waiting.append(i)
-        i = max(left, key=lambda x: (score[x], -x))
+    places rise; a step costs ``gap_cost`` for each code point it spans in either text. A chain that runs
+    into a better one ends there."""
+    order = sorted(range(len(a)), key=lambda i: (a[i], b[i]))
+    ranks = {v: r for r, v in enumerate(sorted(set(b)))}
+    tree, score, before = Fenwick(len(ranks)), [0.0] * len(a), [-1] * len(a)
+    waiting: list[int] = []
+    for n, i in enumerate(order):
+        if n and a[order[n - 1]] != a[i]:  # matches of one place in a do not follow each other
+            for j in waiting:
+                tree.put(ranks[b[j]], score[j] + gap_cost * (a[j] + b[j]), j)
+            waiting = []
+        value, j = tree.get(ranks[b[i]])
+        value -= gap_cost * (a[i] + b[i])
+        if j >= 0 and value > 0 and a[i] - a[j] <= most_gap and b[i] - b[j] <= most_gap:
+            score[i], before[i] = gain + value, j
+        else:
+            score[i] = gain
+        waiting.append(i)
+    out, used = [], [False] * len(a)
+    for i in sorted(order, key=lambda i: (-score[i], i)):
         found = []
-        while i >= 0:
+        while i >= 0 and not used[i]:
+            used[i] = True
             found.append(i)
             i = before[i]
-        out.append(found[::-1])
-        used = set(found)
-        left = [i for i in left if i not in used]
+        if found:
+            out.append(found[::-1])
     return out
 
 
@@ -264,7 +280,7 @@ def passages(records: DataFrame, length: int = 200, mer: int = 100) -> tuple[Dat
     members = materialize(classed.select("space", "key", "cls", F.length("text").alias("n_chars")).distinct(), "members")
     texts = classed.select("cls", "text")
     parts = partitions(records)
-    seeds = _seeds(texts, length, mer, parts)
+    seeds = _seeds(classed.select("cls", "text", F.xxhash64("space").alias("salt")), length, mer, parts)
     found = seeds.groupBy("bucket").applyInArrow(lambda rows: _match_bucket(rows.column("blob").to_pylist()), _MATCH)
     found = materialize(found, "matches")
 
