@@ -9,6 +9,7 @@ text costs one row per block, not one per occurrence, and no table is ever broad
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import materialize
+
 #: Code points of text in a block.
 BLOCK = 8_000_000
 
@@ -37,6 +40,35 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _hash_int(x: int, seed: int = 42) -> int:
+    """Spark's hash of an int (Murmur3, 32 bits, signed)."""
+    m = 0xFFFFFFFF
+    rotl = lambda v, r: ((v << r) | (v >> (32 - r))) & m
+    h = seed ^ (rotl((x & m) * 0xCC9E2D51 & m, 15) * 0x1B873593 & m)
+    h = ((rotl(h, 13) * 5 + 0xE6546B64) & m) ^ 4
+    h = ((h ^ (h >> 16)) * 0x85EBCA6B) & m
+    h = ((h ^ (h >> 13)) * 0xC2B2AE35) & m
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+@lru_cache(maxsize=32)
+def even_labels(n: int, parts: int) -> tuple[int, ...]:
+    """n ints that hash partitioning spreads evenly over ``parts`` partitions. A few blocks numbered
+    0, 1, 2... would leave some partitions empty and others with three."""
+    if n >= 32 * parts:
+        return tuple(range(n))
+    room = [n // parts + (i < n % parts) for i in range(parts)]
+    out: list[int] = []
+    x = 0
+    while len(out) < n:
+        if room[place := _hash_int(x) % parts]:
+            room[place] -= 1
+            out.append(x)
+        x += 1
+    return tuple(out)
+
+
 def block_count(df: DataFrame, text: str, size: int = BLOCK) -> int:
     """As many blocks as keep each near ``size`` code points, one per shuffle partition at least."""
     total = df.agg(F.sum(F.length(text).cast("long"))).head()[0] or 0
@@ -58,7 +90,10 @@ def blockwise(
     ``block, entry, ...`` rows into ``block, entry, value...``. ``apply(dictionary, keys, texts)`` makes
     the output of a batch of texts. Null texts pass through ``apply`` as None."""
     blocks = block_count(docs, text)
-    base = docs.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.col(key).alias("key"), F.col(text).alias("text"))
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    if blocks <= 1000:  # beyond, hashing evens out by itself
+        block = F.element_at(F.array(*map(F.lit, even_labels(blocks, blocks))), block + 1)
+    base = docs.select(block.alias("block"), F.col(key).alias("key"), F.col(text).alias("text"))
     base = base.repartition(blocks, "block")
     ask_schema = T._parse_datatype_string(f"block int, {wanted_schema}")
     ask_arrow = to_arrow_schema(ask_schema)
@@ -72,7 +107,7 @@ def blockwise(
                 if n:
                     yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int32()), *(pa.array(found[f.name], f.type) for f in list(ask_arrow)[1:])], schema=ask_arrow)
 
-    asked = base.mapInArrow(ask, ask_schema)
+    asked = materialize(base.mapInArrow(ask, ask_schema), "asked")  # read twice: for the totals and by block
     answers = lookup(asked)
     extra = [c for c in answers.columns if c not in ("block", "entry")]
     key_type, none = docs.schema[key].dataType, F.lit(None)
