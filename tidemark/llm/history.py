@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import near
-from ._streams import partitions
 
 SPACE = "all"
 
@@ -48,10 +47,11 @@ class SegmentIndex:
     @staticmethod
     def create(history: DataFrame, text: str, path: str, threshold: float = 0.8, width: int = 5, buckets: int | None = None) -> SegmentIndex:
         spark = history.sparkSession
-        order = near.segment_order(near.profile(_texts(history, text, False), width))
+        profiled = near.profile(_texts(history, text, False), width)
+        order = near.segment_order(profiled)
         blob = zlib.compress(order.tobytes(), 1)
         spark.createDataFrame([(bytearray(blob),)], "levels binary").write.parquet(f"{path}/order")
-        made = SegmentIndex(spark, path, threshold, width, buckets or partitions(history))
+        made = SegmentIndex(spark, path, threshold, width, buckets or near.bucket_count(profiled, threshold))
         made.append(history, text)
         return made
 

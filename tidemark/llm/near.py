@@ -39,6 +39,8 @@ SLOTS = 64
 SKETCH = 128
 SCREEN = 49
 FILTER_WORDS = 1 << 17
+#: Cells in a bucket: what one task joins at a time.
+BUCKET = 1_000_000
 _MULTIPLIERS = k.mix(np.arange(1, SKETCH + 1, dtype=U64) * U64(0xD1B54A32D192ED03)) | U64(1)
 
 
@@ -146,10 +148,15 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     return rid, size, sketch.reshape(-1, 2), probe, low.astype(U64) | high.astype(U64) << U64(32), local, rank
 
 
-def cells(records: DataFrame, order: np.ndarray, threshold: float, width: int = 3, buckets: int | None = None) -> DataFrame:
+def bucket_count(profiled: DataFrame, threshold: float) -> int:
+    """Buckets of about BUCKET cells, one for each shuffle partition at least."""
+    total = members(profiled).agg(F.sum(F.col("size") * (1 - threshold) + 1)).head()[0] or 0
+    return max(partitions(profiled), int(total // BUCKET) + 1)
+
+
+def cells(records: DataFrame, order: np.ndarray, threshold: float, width: int, buckets: int) -> DataFrame:
     """``bucket, blob``: the first cells of every distinct set of ``space, key, text, probe``. A task
     emits a set once, however many records have it."""
-    buckets = buckets or partitions(records)
     shared = records.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,6 +318,7 @@ def links(records: DataFrame, threshold: float, width: int = 3) -> tuple[DataFra
         records = records.withColumn("probe", F.lit(True))
     profiled = profile(records, width)
     order = segment_order(profiled)
-    pairs = materialize(candidates(cells(records, order, threshold, width), threshold), "candidates")
+    stored = cells(records, order, threshold, width, bucket_count(profiled, threshold))
+    pairs = materialize(candidates(stored, threshold), "candidates")
     found = materialize(verify(item_sets(records, pairs, width), pairs, threshold), "links")
     return members(profiled), found

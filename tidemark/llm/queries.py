@@ -111,12 +111,56 @@ def queries() -> dict[str, Query]:
     }
 
 
+_BOTH = "SELECT 'doc_files' AS record_table, filePath AS record_key, content AS text FROM doc_files UNION ALL SELECT 'chunks', chunkId, chunkText FROM chunks"
 _TRIMMED = r"regexp_replace({}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
 
+_SQL_P1 = f"""
+    WITH t AS (SELECT DISTINCT record_table, record_key, text FROM ({_BOTH}) WHERE length(text) >= 200),
+    w AS (SELECT record_table, record_key, i, md5(substring(text, i + 1, 200)) AS h
+          FROM (SELECT *, unnest(range(length(text) - 199)) AS i FROM t)),
+    s AS (SELECT record_table, h FROM w GROUP BY record_table, h HAVING min(record_key) <> max(record_key)),
+    m AS (SELECT DISTINCT record_table, record_key, i FROM w JOIN s USING (record_table, h)),
+    g AS (SELECT *, CASE WHEN i <= lag(i) OVER p + 200 THEN 0 ELSE 1 END AS new FROM m WINDOW p AS (PARTITION BY record_table, record_key ORDER BY i)),
+    n AS (SELECT *, sum(new) OVER (PARTITION BY record_table, record_key ORDER BY i) AS k FROM g)
+    SELECT record_table, record_key, CAST(min(i) AS INT) AS start_at, CAST(max(i) + 200 AS INT) AS end_at FROM n GROUP BY record_table, record_key, k"""
+
+_GRAMS = r"SELECT DISTINCT {key}, hash(w[i], w[i + 1], w[i + 2]) AS h FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM (SELECT {key}, regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+') AS w FROM {source}) WHERE len(w) >= 3)"
+
+_SQL_P5 = f"""
+    WITH g AS ({_GRAMS.format(key="record_table, record_key", text="text", source=f"({_BOTH})")}),
+    n AS (SELECT record_table, record_key, count(*) AS n FROM g GROUP BY 1, 2),
+    b AS (SELECT x.record_table, x.record_key AS key_a, y.record_key AS key_b, count(*) AS c
+          FROM g x JOIN g y ON x.record_table = y.record_table AND x.h = y.h AND x.record_key < y.record_key GROUP BY 1, 2, 3)
+    SELECT b.record_table, key_a, key_b FROM b
+    JOIN n p ON p.record_table = b.record_table AND p.record_key = key_a
+    JOIN n q ON q.record_table = b.record_table AND q.record_key = key_b
+    WHERE c >= 0.6 * (p.n + q.n - c) - 1e-9"""
+
+_SQL_P7 = f"""
+    WITH RECURSIVE a AS (SELECT *, row_number() OVER (ORDER BY batchNo, arrivalNo) AS k FROM chunk_arrivals),
+    x AS (SELECT k, chunkHash, chunkText FROM a UNION ALL SELECT -row_number() OVER (), chunkHash, chunkText FROM chunks),
+    g AS ({_GRAMS.format(key="k", text="chunkText", source="x")}),
+    n AS (SELECT k, count(*) AS n FROM g GROUP BY 1),
+    c AS (SELECT y.k AS k, z.k AS j, count(*) AS c FROM g y JOIN g z ON y.h = z.h AND z.k < y.k WHERE y.k > 0 GROUP BY 1, 2),
+    e AS (SELECT c.k, c.j FROM c JOIN n p ON p.k = c.k JOIN n q ON q.k = c.j WHERE c >= 0.6 * (p.n + q.n - c) - 1e-9
+          UNION SELECT y.k, z.k FROM x y JOIN x z ON lower(y.chunkHash) = lower(z.chunkHash) AND z.k < y.k WHERE y.k > 0
+          UNION SELECT y.k, z.k FROM x y JOIN x z ON y.chunkText = z.chunkText AND z.k < y.k WHERE y.k > 0),
+    i AS (SELECT a.k, any_value(a.arrivalNo) AS arrivalNo,
+                 coalesce(bool_or(e.j < 0), false) OR bool_or(a.chunkId IN (SELECT chunkId FROM chunk_vectors WHERE chunkId IS NOT NULL)) AS direct,
+                 coalesce(list(e.j) FILTER (WHERE e.j > 0), []) AS near
+          FROM a LEFT JOIN e ON a.k = e.k GROUP BY a.k),
+    r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept
+          UNION ALL
+          SELECT i.k, CASE WHEN coalesce(i.direct, false) OR list_has_any(r.kept, i.near) THEN r.kept ELSE list_append(r.kept, i.k) END
+          FROM r JOIN i ON i.k = r.k + 1)
+    SELECT arrivalNo FROM i WHERE k NOT IN (SELECT unnest(kept) FROM (SELECT kept FROM r ORDER BY k DESC LIMIT 1))"""
+
 
 def oracle_sql() -> dict[str, str]:
-    both = "SELECT 'doc_files' AS record_table, filePath AS record_key, content AS text FROM doc_files UNION ALL SELECT 'chunks', chunkId, chunkText FROM chunks"
     return {
-        "p6_found": f"SELECT DISTINCT record_table, record_key FROM ({both}) WHERE length({_TRIMMED.format('text')}) > 1000",
+        "p1_found": _SQL_P1,
+        "p5_found": _SQL_P5,
+        "p6_found": f"SELECT DISTINCT record_table, record_key FROM ({_BOTH}) WHERE length({_TRIMMED.format('text')}) > 1000",
+        "p7_found": _SQL_P7,
         "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

@@ -33,6 +33,10 @@ from .near import FILTER_WORDS, rid_filter
 
 U64 = np.uint64
 _PLACE = U64(24)
+#: Seeds in a bucket: what one task joins at a time.
+BUCKET = 1_000_000
+#: Occurrences that are matched with the same one.
+HUB = 256
 
 
 def minimizers(texts: list[str], length: int, mer: int) -> tuple[np.ndarray, ...]:
@@ -118,8 +122,9 @@ def _seeds(classed: DataFrame, length: int, mer: int, buckets: int) -> DataFrame
 
 def _star(group: np.ndarray, cls: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Matches (cls, at, cls, at) inside groups, given sorted by group, class and place: each occurrence
-    with one of the group's first class, those of the first class with one of the last. A class that has
-    the group several times is matched in turn, so that periodic texts stay on few diagonals."""
+    with one of another class, the hub of its HUB occurrences, or else the group's last or first class. A
+    class that has the group several times is matched in turn, so that periodic texts stay on few
+    diagonals; several hubs keep a passage that very many texts share from meeting in one text."""
     if not len(group):
         return np.empty((0, 4), np.int64)
     heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -129,7 +134,9 @@ def _star(group: np.ndarray, cls: np.ndarray, at: np.ndarray) -> np.ndarray:
     length = np.diff([*block, len(group)])
     start, count = np.repeat(block, length), np.repeat(length, length)
     turn = np.arange(len(group)) - start
-    side = np.where(cls == cls[first], last, first)
+    hub = first + (np.arange(len(group)) - first) // HUB * HUB
+    side = np.where(cls == cls[hub], last, hub)
+    side = np.where(cls == cls[side], first, side)
     partner = start[side] + turn % count[side]
     ok = cls != cls[partner]
     i, j = np.flatnonzero(ok), partner[ok]
@@ -279,7 +286,8 @@ def passages(records: DataFrame, length: int = 200, mer: int = 100) -> tuple[Dat
     classed = records.filter(F.length("text") >= length).withColumn("cls", F.xxhash64("space", "text"))
     members = materialize(classed.select("space", "key", "cls", F.length("text").alias("n_chars")).distinct(), "members")
     texts = classed.select("cls", "text")
-    parts = partitions(records)
+    total = members.agg(F.sum("n_chars")).head()[0] or 0  # two seeds for each window of positions
+    parts = max(partitions(records), int(2 * total // (length - mer + 1) // BUCKET) + 1)
     seeds = _seeds(classed.select("cls", "text", F.xxhash64("space").alias("salt")), length, mer, parts)
     found = seeds.groupBy("bucket").applyInArrow(lambda rows: _match_bucket(rows.column("blob").to_pylist()), _MATCH)
     found = materialize(found, "matches")
