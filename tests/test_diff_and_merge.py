@@ -64,3 +64,23 @@ def test_only_missing_vectors_are_made(spark):
     assert other[0].count() == 0 and other[1].count() == 3
     first = embedding.generate_embeddings(now, empty(spark, EMBEDDING), HashEmbedder(4))
     assert first[0].count() == 0 and first[1].count() == 3
+
+
+def test_topk_in_blocks(spark):
+    import numpy as np
+
+    from tidemark.operators.topk import topk_cosine
+
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(80, 4))
+    v[3] = v[4] * 2
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(80, [0.0] * 4), (81, None)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    got = {}
+    for r in topk_cosine(df.filter("id % 20 = 0"), df, "id", "v", 5, block=16).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.neighbour_id
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for i in range(0, 80, 20):
+        cosine = np.round(unit @ unit[i], 6)
+        want = sorted((j for j in range(80) if j != i), key=lambda j: (-cosine[j], j))[:5]
+        assert [got[i][n] for n in range(1, 6)] == want

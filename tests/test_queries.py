@@ -20,3 +20,19 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_core_stands_alone():
+    """No module of the core imports the subpackage, and the entry does without it."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+    import tempfile
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    with tempfile.TemporaryDirectory() as folder:
+        shutil.copytree(f"{root}/tidemark", f"{folder}/tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        shutil.copy(f"{root}/__spark_entry__.py", folder)
+        code = "import __spark_entry__ as e; assert 'p2_found' in e.queries() and not any(k.startswith(('p1_', 'p8_')) for k in e.queries()), e.queries()"
+        subprocess.run([sys.executable, "-c", code], cwd=folder, check=True, env={**os.environ, "PYTHONPATH": folder}, timeout=120)

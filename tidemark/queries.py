@@ -110,6 +110,7 @@ def queries() -> dict[str, Query]:
     text = lambda s, d: table(s, d, "documents")
     return {
         "chunk_documents": lambda s, d: _chunks(documents(s, d)),
+        "chunk_text": lambda s, d: chunking.pieces(documents(s, d), "content", 1000, 100).select("documentId", "piece"),
         "chunk_with_index": lambda s, d: chunking.pieces(documents(s, d), "content", 512, 50).select("documentId", "piece_no", "piece"),
         "chunk_index": lambda s, d: chunking.chunk_documents(documents(s, d), 300, 30).select("documentId", "chunkIndex", F.length("chunkText").alias("n_chars")),
         "chunk_id": lambda s, d: text(s, d).select("doc_id", fn.chunk_id("doc_id", F.lit(7), fn.sha256_hex("text")).alias("chunk_id")),
@@ -220,6 +221,7 @@ def oracle_sql() -> dict[str, str]:
     norm = lambda t: f"sqrt(list_inner_product(CAST({t}.embedding AS DOUBLE[]), CAST({t}.embedding AS DOUBLE[])))"
     return {
         "chunk_documents": f"WITH {_DOCS} {_sql_chunks('docs')}",
+        "chunk_text": f"WITH {_DOCS} SELECT documentId, piece FROM ({_cuts('docs', 1000, 100)})",
         "chunk_with_index": f"WITH {_DOCS} SELECT documentId, CAST(k AS INT) AS piece_no, piece FROM ({_cuts('docs', 512, 50)})",
         "chunk_index": f"WITH {_DOCS} SELECT documentId, chunkIndex, CAST(length(chunkText) AS INT) AS n_chars FROM ({_sql_chunks('docs', 300, 30)})",
         "chunk_id": "SELECT doc_id, concat_ws('_', CAST(doc_id AS VARCHAR), '7', substring(sha256(text), 1, 8)) AS chunk_id FROM documents",
