@@ -186,3 +186,12 @@ def test_screen_keeps_pairs_at_the_threshold():
         f = near._fingerprints(np.concatenate([x, y]), np.array([160, 160]))
         worst = max(worst, int(np.bitwise_count(f[0] ^ f[1]).sum()))
     assert worst <= near.SCREEN
+
+
+def test_counts_are_added_in_levels(spark, monkeypatch):
+    rows = [("s", f"k{i}", f"a b c d{i}") for i in range(40)]
+    profiled = near.profile(spark.createDataFrame(rows, SCHEMA).repartition(10), 3)
+    flat = near.segment_order(profiled)
+    monkeypatch.setattr(near, "FAN", 2)
+    assert (near.segment_order(profiled) == flat).all()
+    assert sorted(flat[flat > 0])[-1] == round(8 * np.log2(41)) and (flat > 0).sum() == 41

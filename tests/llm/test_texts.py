@@ -268,3 +268,45 @@ def test_p8_on_the_table(spark):
     texts = {r.doc_id: r.text for r in table(spark, SMALL, "documents").select("doc_id", "text").collect()}
     got = {r.doc_id: r.ids for r in queries.queries()["p8_ids"](spark, SMALL).collect()}
     assert got == {i: whole.encode(t or "", add_special_tokens=False).ids for i, t in texts.items()}
+
+
+def _lines(seed, n, width=50):
+    rng, out, now = random.Random(seed), [], ""
+    while len(out) < n:
+        w = rng.choice(VOCABULARY)
+        if len(now) + 1 + len(w) > width:
+            out.append(now)
+            now = w
+        else:
+            now = f"{now} {w}".strip()
+    return out
+
+
+def test_headers_without_page_numbers():
+    title = ["the old mint Record"]
+    lines = title + _lines(1, 14) + title + _lines(2, 14) + ["the o1d mint Record"] + _lines(3, 9)
+    assert scans.furniture(lines) == {0, 15, 30}
+    once = _lines(4, 14) + ["Annex 4: lamps and tiles"] + _lines(5, 9)
+    assert scans.furniture(once) == {14}
+    heading = [*_lines(6, 10)[:-1], "and so it ended there.", "", "A heading of its own", "", "The " + _lines(7, 1)[0], *_lines(8, 9)]
+    assert scans.furniture(heading) == set()
+
+
+def test_tables_are_no_furniture():
+    rows = ["218 litres", "  443", "12.5", "218 litres"]
+    lines = [*_lines(1, 9), "and so on.", "", *rows, "", *_lines(2, 12), "and more.", "", *rows, "", *_lines(3, 5)]
+    assert scans.furniture(lines) == set()
+    contents = [f"{n} The {w} . . . . . . {n * 3}" for n, w in enumerate(VOCABULARY)]
+    assert scans.furniture(contents) == set()
+
+
+def test_misread_roman_page_numbers():
+    lines = [*_lines(1, 9), "xi", *_lines(2, 9), "xil", *_lines(3, 9), "xiil"]
+    assert scans.furniture(lines) == {9, 19, 29}
+
+
+def test_texts_with_long_lines_were_never_scanned():
+    text = "the st@ble lamp " * 20 + "\nshort con-\nveyor"
+    assert scans.findings(text, {"st@ble": (1, ["stable"]), "conveyor": (9, None)}) == []
+    many = "\n".join(f"Robust girders {i}" for i in range(20_000))
+    assert scans.findings(many, {}) == []

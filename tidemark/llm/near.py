@@ -36,6 +36,8 @@ from ._streams import partitions
 U64 = np.uint64
 SEGMENT_BITS = 22
 SLOTS = 64
+#: Tables of counts that one task adds up.
+FAN = 256
 SKETCH = 128
 SCREEN = 49
 FILTER_WORDS = 1 << 17
@@ -87,7 +89,7 @@ def profile(records: DataFrame, width: int = 3) -> DataFrame:
         if pending:
             counts += np.bincount(np.concatenate(pending), minlength=len(counts)).astype(np.int32)
         if counts.any():
-            parts = np.split(np.minimum(counts, 65535).astype(np.uint16), SLOTS)
+            parts = np.split(counts.astype(np.uint32), SLOTS)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(SLOTS, pa.string()), pa.nulls(SLOTS, pa.string()), pa.nulls(SLOTS, pa.int64()), pa.nulls(SLOTS, pa.int32()), pa.array(range(SLOTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())],
                 names=["space", "key", "rid", "size", "slot", "blob"],
@@ -102,17 +104,28 @@ def members(profiled: DataFrame) -> DataFrame:
 
 
 def segment_order(profiled: DataFrame) -> np.ndarray:
-    """A byte for each segment that grows with the number of records in it: 2**SEGMENT_BITS bytes."""
+    """A byte for each segment that grows with the number of records in it: 2**SEGMENT_BITS bytes. The
+    tasks' counts are added in groups of at most FAN until one is left of each slot."""
 
-    def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(b), np.uint16).astype(np.int64) for b in rows.column("blob").to_pylist())
-        level = np.minimum(255, np.round(12 * np.log2(1 + total))).astype(np.uint8)
-        return pa.table({"slot": rows.column("slot").slice(0, 1), "blob": pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())})
+    def added(rows: pa.Table) -> np.ndarray:
+        return sum(np.frombuffer(zlib.decompress(b), np.uint32).astype(np.int64) for b in rows.column("blob").to_pylist())
 
-    rows = profiled.filter("slot is not null").select("slot", "blob").groupBy("slot").applyInArrow(add, "slot int, blob binary").collect()
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.minimum(added(rows), 2**32 - 1).astype(np.uint32)
+        return pa.table({"slot": rows.column("slot").slice(0, 1), "blob": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    def level(rows: pa.Table) -> pa.Table:
+        levels = np.minimum(255, np.round(8 * np.log2(1 + added(rows)))).astype(np.uint8)
+        return pa.table({"slot": rows.column("slot").slice(0, 1), "blob": pa.array([zlib.compress(levels.tobytes(), 1)], pa.binary())})
+
+    rows = profiled.filter("slot is not null").select("slot", "blob")
+    n = rows.count() // SLOTS
+    while n > FAN:
+        n = -(-n // FAN)
+        rows = rows.groupBy("slot", F.pmod(F.xxhash64("blob"), F.lit(n)).alias("part")).applyInArrow(add, "slot int, blob binary")
     out = np.zeros(1 << SEGMENT_BITS, np.uint8)
     step = len(out) // SLOTS
-    for r in rows:
+    for r in rows.groupBy("slot").applyInArrow(level, "slot int, blob binary").collect():  # SLOTS rows
         out[r.slot * step : (r.slot + 1) * step] = np.frombuffer(zlib.decompress(r.blob), np.uint8)
     return out
 
