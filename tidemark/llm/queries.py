@@ -124,6 +124,23 @@ _SQL_P1 = f"""
     n AS (SELECT *, sum(new) OVER (PARTITION BY record_table, record_key ORDER BY i) AS k FROM g)
     SELECT record_table, record_key, CAST(min(i) AS INT) AS start_at, CAST(max(i) + 200 AS INT) AS end_at FROM n GROUP BY record_table, record_key, k"""
 
+_SQL_P1_AMOUNT = f"""
+    WITH f AS (SELECT record_table, record_key, sum(end_at - start_at) AS n FROM ({_SQL_P1}) GROUP BY 1, 2),
+    z AS (SELECT record_table, record_key, max(coalesce(length(text), 0)) AS n_chars FROM ({_BOTH}) GROUP BY 1, 2)
+    SELECT record_table, record_key, CAST(n_chars AS INT) AS n_chars, CAST(coalesce(n, 0) AS BIGINT) AS n_shared,
+           CASE WHEN n_chars > 0 THEN coalesce(n, 0)::DOUBLE / n_chars ELSE 0.0::DOUBLE END AS share
+    FROM z LEFT JOIN f USING (record_table, record_key)"""
+
+# Exact; the operator may miss a small share, and misses none on the small tables.
+_SQL_P3 = """    WITH u AS (SELECT DISTINCT embeddingModel AS m, chunkId, embeddingVector AS v FROM chunk_vectors
+               WHERE chunkId IS NOT NULL AND len(embeddingVector) = 64
+                 AND len(list_filter(embeddingVector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embeddingVector, lambda x: x <> 0)) > 0),
+    n AS (SELECT m, chunkId, v, sqrt(list_inner_product(v, v)) AS l FROM u),
+    p AS (SELECT a.chunkId AS a, b.chunkId AS b, round(list_inner_product(a.v, b.v) / (a.l * b.l), 6) AS c
+          FROM n a JOIN n b ON a.m = b.m AND a.chunkId <> b.chunkId),
+    r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM p WHERE c >= 0.84)
+    SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM r WHERE k <= 5"""
+
 _GRAMS = r"SELECT DISTINCT {key}, hash(w[i], w[i + 1], w[i + 2]) AS h FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM (SELECT {key}, regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+') AS w FROM {source}) WHERE len(w) >= 3)"
 
 _SQL_P5 = f"""
@@ -159,6 +176,8 @@ _SQL_P7 = f"""
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _SQL_P1,
+        "p1_amount": _SQL_P1_AMOUNT,
+        "p3_found": _SQL_P3,
         "p5_found": _SQL_P5,
         "p6_found": f"SELECT DISTINCT record_table, record_key FROM ({_BOTH}) WHERE length({_TRIMMED.format('text')}) > 1000",
         "p7_found": _SQL_P7,
