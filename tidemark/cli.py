@@ -9,7 +9,7 @@ from dataclasses import fields
 from .config import Config, load
 from .embedders import HashEmbedder
 from .plans.pipeline import run
-from .session import session
+from .session import session, sweep
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -25,6 +25,7 @@ def main(argv: list[str] | None = None) -> int:
     if spark.conf.get("spark.checkpoint.dir", None) is None:
         spark.conf.set("spark.checkpoint.dir", config.checkpoint_dir)
     print(run(spark, config, HashEmbedder() if offline else None))
+    sweep(spark)
     return 0
 
 
