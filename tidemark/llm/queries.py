@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries import table
-from ..session import shared_dir
+from ..session import scratch
 from . import duplicates, encoding, history, packing, scans, sentences, spans, splitting, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +71,7 @@ def _p6_pieces(s: SparkSession, d: str) -> DataFrame:
 
 
 def _p7_found(s: SparkSession, d: str) -> DataFrame:
-    path = f"{shared_dir(s)}/tidemark/index-{uuid.uuid4().hex}"
+    path = f"{scratch(s)}/index-{uuid.uuid4().hex}"
     return history.already_known(table(s, d, "chunk_arrivals"), table(s, d, "chunks"), table(s, d, "chunk_vectors"), path)
 
 
