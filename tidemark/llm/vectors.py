@@ -92,6 +92,8 @@ def neighbours(
     probes: int = 12, rerank: int = 128, sample_rows: int = 20_000, per_list: int = 256, most_lists: int = 4096, parts: int = 32, block: int = 4096,
 ) -> DataFrame:
     """``space, key, neighbour, cosine, rank``; the cosine is rounded to 6 decimals."""
+    if dimension % parts:
+        raise ValueError("parts must divide the dimension")
     spark = vectors.sparkSession
     rows = usable(vectors, key, vector, space, dimension).withColumn("cls", F.xxhash64("space", "vector"))
     rows = materialize(rows, "vectors")
