@@ -39,7 +39,6 @@ SLOTS = 64
 #: Tables of counts that one task adds up.
 FAN = 256
 SKETCH = 128
-SCREEN = 49
 FILTER_WORDS = 1 << 17
 #: Cells in a bucket: what one task joins at a time.
 BUCKET = 1_000_000
@@ -140,6 +139,13 @@ def _fingerprints(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def screen(threshold: float) -> int:
+    """The most differing bits of two fingerprints that may still reach the threshold: the mean at the
+    threshold and 5.2 standard deviations."""
+    p = (1 - threshold) / 2
+    return int(np.ceil(SKETCH * p + 5.2 * (SKETCH * p * (1 - p)) ** 0.5))
+
+
 _HEAD = np.dtype([("records", np.uint32), ("cells", np.uint32)])
 
 
@@ -210,28 +216,24 @@ def cells(records: DataFrame, order: np.ndarray, threshold: float, width: int, b
 
 def _bucket_pairs(blobs: list[bytes], threshold: float) -> np.ndarray:
     """(smaller set, larger set) rids of the pairs of a bucket that may reach the threshold."""
-    rid, size, sketch, probe, cell, owner, rank, base = [], [], [], [], [], [], [], 0
-    for blob in blobs:
-        r, s, f, p, c, o, n = _unpack(blob)
-        rid.append(r), size.append(s), sketch.append(f), probe.append(p), cell.append(c), owner.append(o.astype(np.int64) + base), rank.append(n)
-        base += len(r)
-    rid, size, sketch, probe = np.concatenate(rid), np.concatenate(size).astype(np.int64), np.concatenate(sketch), np.concatenate(probe).astype(bool)
-    cell, owner, rank = np.concatenate(cell), np.concatenate(owner), np.concatenate(rank).astype(np.int64)
+    parts = [_unpack(blob) for blob in blobs]
+    base = np.cumsum([0, *(len(p[0]) for p in parts)])
+    rid, size, sketch, probe, cell, rank = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 4, 6))
+    owner = np.concatenate([p[5].astype(np.int64) + b for p, b in zip(parts, base[:-1], strict=True)])
+    size, rank, probe = size.astype(np.int64), rank.astype(np.int64), probe.astype(bool)
     by = np.lexsort((rid[owner], size[owner], cell))
     cell, owner, rank = cell[by], owner[by], rank[by]
     r = rid[owner]
     again = np.zeros(len(cell), bool)  # the same set from several tasks
     again[1:] = (cell[1:] == cell[:-1]) & (r[1:] == r[:-1])
     if again.any():
-        # a set that is both probe and index counts as probe
-        both = np.isin(rid, rid[probe])
-        probe = probe | both
+        probe = probe | np.isin(rid, rid[probe])  # a set that is both probe and stored counts as probe
         cell, owner, rank = cell[~again], owner[~again], rank[~again]
     n = len(cell)
     last = np.searchsorted(cell, cell, "right")
     out, d = [], 1
     alive = np.flatnonzero(np.arange(n) + 1 < last)
-    share = threshold / (1 + threshold)
+    share, most_bits = threshold / (1 + threshold), screen(threshold)
     while len(alive):
         i, j = alive, alive + d
         a, b = owner[i], owner[j]
@@ -241,7 +243,7 @@ def _bucket_pairs(blobs: list[bytes], threshold: float) -> np.ndarray:
         most = np.minimum(size[a] - rank[i], size[b] - rank[j])
         ok = (most >= share * (size[a] + size[b]) - 1e-9) & (probe[a] | probe[b]) & (rid[a] != rid[b])
         a, b = a[ok], b[ok]
-        ok = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1) <= SCREEN
+        ok = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1) <= most_bits
         out.append(np.stack([rid[a[ok]], rid[b[ok]]], 1))
         if len(out) > 64:
             out = [np.unique(np.concatenate(out), axis=0)]
