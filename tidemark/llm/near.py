@@ -13,7 +13,7 @@ rarest first, and two records within the bound always share a cell among their f
 That range join loses nothing. Cells are stored in blobs, one per bucket of segments, and a bucket is
 joined in one task; the bound is tightened by each cell's position. Pairs are then screened by the
 Hamming distance of 128-bit fingerprints (one bit of each of 128 minima; a pair at the threshold fails
-the screen with a probability below one in two million) and verified on the sets themselves.
+the screen with a probability below one in a million) and verified on the sets themselves.
 
 What is shared with all tasks is the table of segment sizes, ``2**SEGMENT_BITS`` bytes whatever the
 data, and a filter of ``FILTER_WORDS`` words.
