@@ -141,9 +141,9 @@ def _fingerprints(h: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def screen(threshold: float) -> int:
     """The most differing bits of two fingerprints that may still reach the threshold: the mean at the
-    threshold and 5.2 standard deviations."""
+    threshold and 5.1 standard deviations."""
     p = (1 - threshold) / 2
-    return int(np.ceil(SKETCH * p + 5.2 * (SKETCH * p * (1 - p)) ** 0.5))
+    return int(np.ceil(SKETCH * p + 5.1 * (SKETCH * p * (1 - p)) ** 0.5))
 
 
 _HEAD = np.dtype([("records", np.uint32), ("cells", np.uint32)])
