@@ -181,6 +181,17 @@ def test_abbreviations_are_learned_from_the_document_and_the_corpus():
     assert cut("One blk. of wood and two blk. of iron.", {}) == ["One blk. of wood and two blk. of iron."]
 
 
+def test_the_document_decides_on_abbreviations_before_the_corpus():
+    cut = lambda t, known: [t[a:b] for a, b in sentences.boundaries(t, known)]
+    # "blk." is shown by the document itself; before a name it stays inside, before a common word it ends
+    assert cut("The blk. of wood lay by Mill. See blk. Mill there.", {}) == ["The blk. of wood lay by Mill.", "See blk. Mill there."]
+    assert cut("The blk. of wood. We saw the blk. The end.", {}) == ["The blk. of wood.", "We saw the blk.", "The end."]
+    # the corpus says otherwise, the document comes first
+    assert cut("The blk. of wood. See blk. Mill.", {"blk": (90, 0, 90)}) == ["The blk. of wood.", "See blk. Mill."]
+    assert cut("See the rod.\n\nThe rod. Mill.", {"rod": (0, 40, 3)}) == ["See the rod.", "The rod.", "Mill."]
+    assert cut("Seen by x. Ⓐ mark.", {}) == ["Seen by x. Ⓐ mark."]  # a capital that is no letter
+
+
 def test_sentence_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " \n "), (4, "One. Two."), (4, "One. Two."), (5, "x" * 50_000)], "doc_id long, text string").withColumn("key", F.lit(0))
     rows = sentences.split(df, with_text=True).collect()

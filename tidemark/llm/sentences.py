@@ -1,8 +1,11 @@
 """Sentences of texts in many languages and scripts.
 
 Method: document-centred disambiguation. Whether a word with a period is an abbreviation is read off
-its unambiguous occurrences (a word in small letters follows, or the paragraph ends there) in the
-same document and, where the document says too little, in the whole corpus. Terminators follow the
+its unambiguous occurrences (a word in small letters follows, or the paragraph ends there, or a common
+word with a capital follows) in the same document and, where the document is silent, in the whole
+corpus. A word with a capital is common if the document has it in small letters elsewhere, a proper name
+if it has it with a capital inside a sentence only; an abbreviation that was learned ends its sentence
+before a common word. The fixed lists come before all evidence. Terminators follow the
 script: full stops of CJK need no space, dandas end Devanagari sentences, Greek asks with a semicolon,
 Arabic has its own question mark, and Thai sentences are parted by spaces.
 
@@ -69,17 +72,45 @@ def _small(text: str, at: int) -> bool:
     return not word or word[0].islower() or not any(c.isupper() for c in word[0])
 
 
-def _evidence(text: str, start: int, end: int, out: dict[str, list[int]]) -> None:
-    """Counts per token with a period: at a paragraph's end, before a small letter, before others."""
+class _Words:
+    """Which words with a capital are common in a text: small elsewhere and never a name."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.all, self.seen = text, set(_MIXED.findall(text)), {}
+
+    def common(self, at: int) -> bool:
+        """Whether one starts there."""
+        found = _MIXED.match(self.text, at) if self.text[at].isupper() else None
+        if not found:
+            return False
+        word = found[0]
+        if word not in self.seen:
+            self.seen[word] = word.lower() in self.all and not self._inside(word)
+        return self.seen[word]
+
+    def _inside(self, word: str) -> bool:
+        """Whether the word stands inside a sentence, after a word and a space."""
+        t, at = self.text, self.text.find(word, 2)
+        while at >= 0:
+            if t[at - 1].isspace() and t[at - 2].isalnum() and not t[at + len(word) : at + len(word) + 1].isalpha():
+                return True
+            at = t.find(word, at + 1)
+        return False
+
+
+def _evidence(text: str, start: int, end: int, words: _Words, out: dict[str, list[int]]) -> None:
+    """Counts per token with a period: at a paragraph's end, before a small letter, before others, and
+    how many of these are common words with a capital."""
     for m in _DOTTED.finditer(text, start, end):
         after, at = _follows(text, m.end(), end)
-        found = out.setdefault(m[1], [0, 0, 0])
+        found = out.setdefault(m[1], [0, 0, 0, 0])
         if not after:
             found[0] += 1
         elif _small(text, at):
             found[1] += 1
         else:
             found[2] += 1
+            found[3] += words.common(at)
 
 
 def _paragraphs(text: str) -> list[tuple[int, int]]:
@@ -115,24 +146,28 @@ def _pairs(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 
 def _kind(token: str, own: dict[str, list[int]], known: dict[str, tuple]) -> str:
-    """'always': an abbreviation inside its sentence; 'may': it may end one; 'word': no abbreviation."""
+    """'listed', 'always': an abbreviation inside its sentence; 'may': it may end one; 'word': no abbreviation."""
     bare = token.rstrip(".").rpartition("-")[2]
     if bare in KNOWN:
-        return "always"
+        return "listed"
     if bare in MAY_END:
         return "may"
     if bare.isdigit():
         return "word"
-    e, low, up = known.get(token, (0, 0, 0))
+    e, low, _, common = own.get(token, (0, 0, 0, 0))
+    if low > e + common:
+        return "always" if not e + common and (len(bare) <= 6 or low > 1) else "may"
+    if e + common:
+        return "word"
+    e, low, up = known.get(token, (0, 0, 0))[:3]
     if e + low + up < ENOUGH:
-        mine = own.get(token, (0, 0, 0))
-        return "may" if mine[1] > mine[0] + mine[2] else "word"
+        return "word"
     if len(bare) <= 6 and e == 0:
         return "always"
     return "may" if low >= 0.05 * (e + low + up) and len(bare) <= 6 else "word"
 
 
-def _splits(text: str, start: int, end: int, own: dict[str, list[int]], known: dict[str, tuple]) -> list[int]:
+def _splits(text: str, start: int, end: int, words: _Words, own: dict[str, list[int]], known: dict[str, tuple]) -> list[int]:
     """Where sentences end inside a paragraph."""
     pairs = _pairs(text, start, end)
     closers = {b: a for a, b in pairs}
@@ -229,7 +264,7 @@ def _splits(text: str, start: int, end: int, own: dict[str, list[int]], known: d
         kind = _kind(token, own, known)
         if len(last) == 1 and last.isalpha() and token.rstrip(".") not in MAY_END and (last.isupper() or len(token) == 1):
             continue
-        if kind == "always" or _small(text, at):
+        if kind == "listed" or (kind == "always" and not words.common(at)) or _small(text, at):
             continue
         out.append(j)
         begin = at
@@ -239,13 +274,13 @@ def _splits(text: str, start: int, end: int, own: dict[str, list[int]], known: d
 def boundaries(text: str, known: dict[str, tuple]) -> list[tuple[int, int]]:
     """(start, end) of the sentences; ``known`` has the corpus's counts of the tokens with a period."""
     own: dict[str, list[int]] = {}
-    spans = _paragraphs(text)
+    spans, words = _paragraphs(text), _Words(text)
     for a, b in spans:
-        _evidence(text, a, b, own)
+        _evidence(text, a, b, words, own)
     out = []
     for a, b in spans:
         at = a
-        for cut in [*_splits(text, a, b, own, known), b]:
+        for cut in [*_splits(text, a, b, words, own, known), b]:
             s, e = at, cut
             while s < e and text[s].isspace():
                 s += 1
@@ -260,8 +295,9 @@ def boundaries(text: str, known: dict[str, tuple]) -> list[tuple[int, int]]:
 def _wanted(texts: list[str]) -> dict[str, list]:
     counts: dict[str, list[int]] = {}
     for t in texts:
+        words = _Words(t)
         for a, b in _paragraphs(t):
-            _evidence(t, a, b, counts)
+            _evidence(t, a, b, words, counts)
     return {"entry": list(counts), **{c: [v[i] for v in counts.values()] for i, c in enumerate("elu")}}
 
 
