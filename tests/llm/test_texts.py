@@ -192,6 +192,17 @@ def test_the_document_decides_on_abbreviations_before_the_corpus():
     assert cut("Seen by x. Ⓐ mark.", {}) == ["Seen by x. Ⓐ mark."]  # a capital that is no letter
 
 
+def test_the_corpus_decides_by_shares():
+    cut = lambda t, known: [t[a:b] for a, b in sentences.boundaries(t, known)]
+    text, one, two = "See qv. Mill there.", ["See qv. Mill there."], ["See qv.", "Mill there."]
+    for size in (1, 10, 1000):  # the same shares in corpora of any size, some at a paragraph's end
+        assert cut(text, {"qv": (0, 8 * size, 0, 0)}) == cut(text, {"qv": (size // 20, 8 * size, 3 * size, 0)}) == one
+        assert cut(text, {"qv": (3 * size, 8 * size, 0, 0)}) == two
+    counts = sentences._wanted(["See Non. Elle there. Here elle is.", "It was Non. Elle"] * 40)
+    known = dict(zip(counts["entry"], zip(*(counts[c] for c in counts if c != "entry")), strict=True))
+    assert cut("Non. Anna", known) == ["Non.", "Anna"]  # frequent and never at a paragraph's end, but no small letter follows
+
+
 def test_sentence_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " \n "), (4, "One. Two."), (4, "One. Two."), (5, "x" * 50_000)], "doc_id long, text string").withColumn("key", F.lit(0))
     rows = sentences.split(df, with_text=True).collect()

@@ -50,8 +50,8 @@ _BEFORE_ORDINAL = frozenset("am im vom zum zur beim der dem den des die das seit
 _AFTER_ORDINAL = frozenset("Januar Februar März April Mai Juni Juli August September Oktober November Dezember Jahrhundert Jahrhunderts Jh Kapitel Stock Auflage".split())
 #: How a reporting clause goes on after a quotation in scripts without case.
 _REPORTS = re.compile(r"と|って|उस|उन|ثم")
-#: Occurrences that make the corpus's word on a token final.
-ENOUGH = 12
+#: The share of evidence that must speak for an abbreviation in the corpus.
+SURE = 0.9
 
 
 def _follows(text: str, at: int, end: int) -> tuple[str, int]:
@@ -73,19 +73,28 @@ def _small(text: str, at: int) -> bool:
 
 
 class _Words:
-    """Which words with a capital are common in a text: small elsewhere and never a name."""
+    """Which words with a capital are common in a text (small elsewhere and never a name), and which are
+    names (inside a sentence with a capital, and never small)."""
 
     def __init__(self, text: str) -> None:
         self.text, self.all, self.seen = text, set(_MIXED.findall(text)), {}
 
     def common(self, at: int) -> bool:
-        """Whether one starts there."""
+        """Whether a common word starts there."""
+        return self._kind(at) == "common"
+
+    def name(self, at: int) -> bool:
+        """Whether a name starts there."""
+        return self._kind(at) == "name"
+
+    def _kind(self, at: int) -> str:
         found = _MIXED.match(self.text, at) if self.text[at].isupper() else None
         if not found:
-            return False
+            return ""
         word = found[0]
         if word not in self.seen:
-            self.seen[word] = word.lower() in self.all and not self._inside(word)
+            small, inside = word.lower() in self.all, self._inside(word)
+            self.seen[word] = "" if small == inside else "common" if small else "name"
         return self.seen[word]
 
     def _inside(self, word: str) -> bool:
@@ -99,8 +108,8 @@ class _Words:
 
 
 def _evidence(text: str, start: int, end: int, words: _Words, out: dict[str, list[int]]) -> None:
-    """Counts per token with a period: at a paragraph's end, before a small letter, before others, and
-    how many of these are common words with a capital."""
+    """Counts per token with a period: at a paragraph's end, before a small letter, before a proper name,
+    before a common word with a capital. What follows otherwise is no evidence."""
     for m in _DOTTED.finditer(text, start, end):
         after, at = _follows(text, m.end(), end)
         found = out.setdefault(m[1], [0, 0, 0, 0])
@@ -109,7 +118,7 @@ def _evidence(text: str, start: int, end: int, words: _Words, out: dict[str, lis
         elif _small(text, at):
             found[1] += 1
         else:
-            found[2] += 1
+            found[2] += words.name(at)
             found[3] += words.common(at)
 
 
@@ -159,12 +168,17 @@ def _kind(token: str, own: dict[str, list[int]], known: dict[str, tuple]) -> str
         return "always" if not e + common and (len(bare) <= 6 or low > 1) else "may"
     if e + common:
         return "word"
-    e, low, up = known.get(token, (0, 0, 0))[:3]
-    if e + low + up < ENOUGH:
+    e, low, name, common = (*known.get(token, (0, 0, 0)), 0)[:4]
+    against = e + common
+    if len(bare) > 6:
         return "word"
-    if len(bare) <= 6 and e == 0:
+    # Small letters that follow speak for an abbreviation; a share with half an occurrence added to each side.
+    if low + 0.5 >= SURE * (low + against + 1):
+        return "always"
+    # What only names follow is one ("Dr.") if the share against it is below 1 - SURE, at a confidence of 95 %.
+    if against + 3 <= (1 - SURE) * (low + name + against):
         return "always"
-    return "may" if low >= 0.05 * (e + low + up) and len(bare) <= 6 else "word"
+    return "may" if low >= 0.05 * (low + name + against) > 0 else "word"
 
 
 def _splits(text: str, start: int, end: int, words: _Words, own: dict[str, list[int]], known: dict[str, tuple]) -> list[int]:
@@ -298,16 +312,16 @@ def _wanted(texts: list[str]) -> dict[str, list]:
         words = _Words(t)
         for a, b in _paragraphs(t):
             _evidence(t, a, b, words, counts)
-    return {"entry": list(counts), **{c: [v[i] for v in counts.values()] for i, c in enumerate("elu")}}
+    return {"entry": list(counts), **{c: [v[i] for v in counts.values()] for i, c in enumerate("elns")}}
 
 
 def _lookup(asked: DataFrame) -> DataFrame:
-    total = asked.groupBy("entry").agg(*[F.sum(c).alias(c) for c in "elu"])
-    return asked.select("block", "entry").distinct().join(total, "entry").select("block", "entry", "e", "l", "u")
+    total = asked.groupBy("entry").agg(*[F.sum(c).alias(c) for c in "elns"])
+    return asked.select("block", "entry").distinct().join(total, "entry").select("block", "entry", *"elns")
 
 
 def _sentence_stream(docs: DataFrame, key: str, text: str, apply: Callable, schema: str) -> DataFrame:
-    return blockwise(docs, key, text, _wanted, "entry string, e long, l long, u long", _lookup, apply, schema)
+    return blockwise(docs, key, text, _wanted, "entry string, e long, l long, n long, s long", _lookup, apply, schema)
 
 
 def split(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
