@@ -188,6 +188,21 @@ def test_screen_keeps_pairs_at_the_threshold():
     assert worst <= near.screen(0.6) == 49 and near.screen(0.8) == 31
 
 
+def test_no_pair_within_the_bound_is_screened_out():
+    rng = np.random.default_rng(1)
+    for n_both, n_own in ((120, 40), (9, 3), (1200, 400)):  # exactly 0.6
+        both, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (n_both, n_own, n_own))
+        h, owner = np.concatenate([both, a, both, b]), np.repeat([0, 1], n_both + n_own)
+        sketch = near._parities(h, owner, 2)
+        assert np.bitwise_count(sketch[0] ^ sketch[1]).sum() <= 2 * n_own
+    # fingerprints as unlike as a pair at the threshold can have them, which a screen of 49 bits drops
+    sketch = np.zeros((2, near.PARITIES // 64), np.uint64)
+    sketch[1, 0], sketch[1, 1] = 2**63 - 1, 2**17 - 1
+    size, one = np.array([160, 160]), np.array([0, 1])
+    blob = near._pack(np.array([1, 2]), size, sketch, np.array([True, True]), np.array([5, 5], np.uint64), one, np.array([0, 0]))
+    assert near._bucket_pairs([blob], 0.6).tolist() == [[1, 2]] and near._bucket_pairs([blob], 0.61).tolist() == []
+
+
 def test_counts_are_added_in_levels(spark, monkeypatch):
     rows = [("s", f"k{i}", f"a b c d{i}") for i in range(40)]
     profiled = near.profile(spark.createDataFrame(rows, SCHEMA).repartition(10), 3)

@@ -11,9 +11,10 @@ pairs of unrelated records of like size. The grid is therefore laid over many na
 an embedding is sparse: its cells (segment, count) are ordered by how many records are in a segment,
 rarest first, and two records within the bound always share a cell among their first (1 - t) * size.
 That range join loses nothing. Cells are stored in blobs, one per bucket of segments, and a bucket is
-joined in one task; the bound is tightened by each cell's position. Pairs are then screened by the
-Hamming distance of 128-bit fingerprints (one bit of each of 128 minima; a pair at the threshold fails
-the screen with a probability below one in a million) and verified on the sets themselves.
+joined in one task; the bound is tightened by each cell's position. On a shared cell this is prefix
+filtering. Pairs that meet are then held against the Manhattan bound itself, on the parities of the
+popcounts of PARITIES segments, whose distance is never above that of the popcounts, and verified on
+the sets themselves. No step loses a pair.
 
 What is shared with all tasks is the table of segment sizes, ``2**SEGMENT_BITS`` bytes whatever the
 data, and a filter of ``FILTER_WORDS`` words.
@@ -39,6 +40,8 @@ SLOTS = 64
 #: Tables of counts that one task adds up.
 FAN = 256
 SKETCH = 128
+#: Segments whose popcounts' parities are compared, 64 in a word.
+PARITIES = 512
 FILTER_WORDS = 1 << 17
 #: Cells in a bucket: what one task joins at a time.
 BUCKET = 1_000_000
@@ -139,6 +142,15 @@ def _fingerprints(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parities(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """The popcounts' parities of PARITIES segments of each set. Two sets differ in no more of them than
+    in members."""
+    out = np.zeros(n * (PARITIES // 64), U64)
+    segment = (h % U64(PARITIES)).astype(np.int64)
+    np.bitwise_xor.at(out, owner * (PARITIES // 64) + segment // 64, U64(1) << (segment % 64).astype(U64))
+    return out.reshape(n, -1)
+
+
 def screen(threshold: float) -> int:
     """The most differing bits of two fingerprints that may still reach the threshold: the mean at the
     threshold and 5.1 standard deviations."""
@@ -160,11 +172,11 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     n, c = (int(x) for x in np.frombuffer(blob, _HEAD, 1)[0])
     at = _HEAD.itemsize
     out = []
-    for kind, count in ((np.int64, n), (np.uint32, n), (U64, 2 * n), (np.uint8, n), (np.uint32, c), (np.uint8, c), (np.uint16 if n < 65536 else np.uint32, c), (np.uint32, c)):
+    for kind, count in ((np.int64, n), (np.uint32, n), (U64, PARITIES // 64 * n), (np.uint8, n), (np.uint32, c), (np.uint8, c), (np.uint16 if n < 65536 else np.uint32, c), (np.uint32, c)):
         out.append(np.frombuffer(blob, kind, count, at))
         at += out[-1].nbytes
     rid, size, sketch, probe, low, high, local, rank = out
-    return rid, size, sketch.reshape(-1, 2), probe, low.astype(U64) | high.astype(U64) << U64(32), local, rank
+    return rid, size, sketch.reshape(-1, PARITIES // 64), probe, low.astype(U64) | high.astype(U64) << U64(32), local, rank
 
 
 def bucket_count(profiled: DataFrame, threshold: float) -> int:
@@ -196,7 +208,7 @@ def cells(records: DataFrame, order: np.ndarray, threshold: float, width: int, b
                 place = np.cumsum(fresh) - 1
                 h, owner = h[use], place[owner[use]]
                 size, rid, probe = size[fresh], rid[fresh], probe[fresh]
-                sketch = _fingerprints(h, size)
+                sketch = _parities(h, owner, len(size))
                 by = np.lexsort((h, level[(h >> U64(64 - SEGMENT_BITS)).astype(np.int64)], owner))
                 h, owner = h[by], owner[by]
                 rank = np.arange(len(h)) - np.concatenate([[0], np.cumsum(size)[:-1]])[owner]
@@ -233,7 +245,7 @@ def _bucket_pairs(blobs: list[bytes], threshold: float) -> np.ndarray:
     last = np.searchsorted(cell, cell, "right")
     out, d = [], 1
     alive = np.flatnonzero(np.arange(n) + 1 < last)
-    share, most_bits = threshold / (1 + threshold), screen(threshold)
+    share = threshold / (1 + threshold)
     while len(alive):
         i, j = alive, alive + d
         a, b = owner[i], owner[j]
@@ -243,7 +255,7 @@ def _bucket_pairs(blobs: list[bytes], threshold: float) -> np.ndarray:
         most = np.minimum(size[a] - rank[i], size[b] - rank[j])
         ok = (most >= share * (size[a] + size[b]) - 1e-9) & (probe[a] | probe[b]) & (rid[a] != rid[b])
         a, b = a[ok], b[ok]
-        ok = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1) <= most_bits
+        ok = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1) <= (1 - 2 * share) * (size[a] + size[b]) + 1e-9
         out.append(np.stack([rid[a[ok]], rid[b[ok]]], 1))
         if len(out) > 64:
             out = [np.unique(np.concatenate(out), axis=0)]
