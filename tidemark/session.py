@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def session(app_name: str = "tidemark", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
@@ -44,5 +48,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes the frame as a table in the shared folder and reads it again. The lineage ends there
     and the files outlive any executor; ``sweep`` removes them."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with released(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """What is written inside is stored for good, so its shuffle files go as soon as the write has ended."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
