@@ -166,47 +166,69 @@ def test_empty_batch(spark, tmp_path):
     assert history.already_known(spark.createDataFrame([], ARRIVALS), h, h, str(tmp_path / "index")).count() == 0
 
 
-def test_index_grows_by_appends(spark, tmp_path):
+def test_a_second_batch_reads_no_text_and_no_other_bucket(spark, tmp_path):
     text = "one two three four five six seven eight"
-    first = spark.createDataFrame([("a", text)], "k string, t string")
-    index = history.SegmentIndex.create(first, "t", str(tmp_path / "index"), 0.6, 3)
-    batch = spark.createDataFrame([("b", text + " nine"), ("c", "something else is written here today")], "k string, t string")
-    assert [round(r.similarity, 3) for r in index.probe(batch, "t").collect()] == [0.857]
-    index.append(batch.filter("k = 'c'"), "t")
-    late = spark.createDataFrame([("d", "something else is written here today again")], "k string, t string")
-    assert index.probe(late, "t").count() == 1
-
-
-def test_screen_keeps_pairs_at_the_threshold():
-    rng = np.random.default_rng(0)
-    worst = 0
-    for _ in range(300):
-        both, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (120, 40, 40))
-        x, y = np.sort(np.concatenate([both, a])), np.sort(np.concatenate([both, b]))
-        f = near._fingerprints(np.concatenate([x, y]), np.array([160, 160]))
-        worst = max(worst, int(np.bitwise_count(f[0] ^ f[1]).sum()))
-    assert worst <= near.screen(0.6) == 49 and near.screen(0.8) == 31
-
-
-def test_no_pair_within_the_bound_is_screened_out():
-    rng = np.random.default_rng(1)
-    for n_both, n_own in ((120, 40), (9, 3), (1200, 400)):  # exactly 0.6
-        both, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (n_both, n_own, n_own))
-        h, owner = np.concatenate([both, a, both, b]), np.repeat([0, 1], n_both + n_own)
-        sketch = near._parities(h, owner, 2)
-        assert np.bitwise_count(sketch[0] ^ sketch[1]).sum() <= 2 * n_own
-    # fingerprints as unlike as a pair at the threshold can have them, which a screen of 49 bits drops
-    sketch = np.zeros((2, near.PARITIES // 64), np.uint64)
-    sketch[1, 0], sketch[1, 1] = 2**63 - 1, 2**17 - 1
-    size, one = np.array([160, 160]), np.array([0, 1])
-    blob = near._pack(np.array([1, 2]), size, sketch, np.array([True, True]), np.array([5, 5], np.uint64), one, np.array([0, 0]))
-    assert near._bucket_pairs([blob], 0.6).tolist() == [[1, 2]] and near._bucket_pairs([blob], 0.61).tolist() == []
+    first = spark.createDataFrame([("a", "h1", text), ("b", "h2", "quite another text of some length stands here")], "k string, h string, t string")
+    path = str(tmp_path / "index")
+    history.SegmentIndex.create(first, "t", "h", path, 0.6, 3, buckets=50)
+    index = history.SegmentIndex.open(spark, path)  # nothing but the stored index
+    assert (index.buckets, index.threshold, index.width) == (50, 0.6, 3)
+    none = spark.createDataFrame([], "k string")
+    rows = lambda *r: spark.createDataFrame([(i, f"x{i}", f"g{i}", t) for i, t in r], "n long, k string, h string, t string")
+    judge = lambda df: {r[0] for r in index.judge(df, none, "n", "k", "h", "t").collect()}
+    assert judge(rows((1, text + " nine"), (2, "something else is written here today"), (3, None))) == {1}
+    assert judge(rows((4, "something else is written here today again"), (5, "all new words stand in this one"))) == {4}
+    segments = index.segments(index.strings(rows((6, "all new words stand in this one")), "t", "n"))
+    asked = {r[0] for r in segments.select("bucket").distinct().collect()}
+    pruned = index._load("segments", segments)
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert 0 < len(asked) < 20 and {r[0] for r in pruned.select("bucket").distinct().collect()} <= asked
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    before = index._load("segments").count()
+    assert index.rebuild()._load("segments").count() == before and judge(rows((7, "all new words stand in this one too"))) == {7}
+
+
+def test_no_pair_within_the_bound_is_lost(spark):
+    rng = random.Random(1)
+    rows, want = [], set()
+    for i, (n_both, n_own) in enumerate(((3, 1), (12, 4), (120, 40), (600, 200))):  # exactly 0.6
+        both, a, b = ([rng.getrandbits(64) for _ in range(n)] for n in (n_both, n_own, n_own))
+        for j, own in enumerate((a, b)):
+            h = np.sort(np.array(both + own, np.uint64))
+            rows.append((2 * i + j, len(h), h.tobytes()))
+        want.add((2 * i, 2 * i + 1))
+    x = np.array([rng.getrandbits(64) for _ in range(160)], np.uint64)
+    rows += [(20, 160, np.sort(x).tobytes()), (21, 160, np.sort(np.concatenate([x[:119], x[:41] + np.uint64(1)])).tobytes())]  # just below
+    sets = spark.createDataFrame([(r, n, bytearray(b)) for r, n, b in rows], near.SETS)
+    for order in (np.zeros(1 << near.ORDER_BITS, np.uint8), np.random.default_rng(0).integers(0, 255, 1 << near.ORDER_BITS).astype(np.uint8)):
+        cells = near.cells_of_sets(sets, order, 0.6)
+        pairs = near.materialize(near.meet(cells, cells, 0.6, True), "pairs")
+        assert {(r.small, r.large) for r in near.verify(sets, pairs, 0.6).collect()} == want
+
+
+def test_embedding_is_a_lower_bound():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        x, y = (rng.integers(0, 400, 150).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in "ab")
+        x, y = np.unique(x), np.unique(y)
+        assert np.abs(near.embedding(x) - near.embedding(y)).sum() <= len(np.setxor1d(x, y))
+
+
+def test_large_groups_are_verified_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 100)
+    rng = random.Random(4)
+    core = " ".join(f"w{i}" for i in range(60))
+    rows = [("s", f"k{i:02}", f"{core} " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 12)))) for i in range(40)]
+    got = {(r.space, r.key_a, r.key_b) for r in duplicates.pairs(spark.createDataFrame(rows, SCHEMA), 0.8, 3).collect()}
+    assert got == brute(rows, 0.8, 3) and len(got) > 300
+    groups = duplicates.groups(spark.createDataFrame(rows, SCHEMA), 0.8, 3).collect()
+    assert sum(r.n_links for r in groups) == 2 * len(got)
 
 
 def test_counts_are_added_in_levels(spark, monkeypatch):
     rows = [("s", f"k{i}", f"a b c d{i}") for i in range(40)]
     profiled = near.profile(spark.createDataFrame(rows, SCHEMA).repartition(10), 3)
-    flat = near.segment_order(profiled)
+    flat = near.sequence_order(profiled)
     monkeypatch.setattr(near, "FAN", 2)
-    assert (near.segment_order(profiled) == flat).all()
+    assert (near.sequence_order(profiled) == flat).all()
     assert sorted(flat[flat > 0])[-1] == round(8 * np.log2(41)) and (flat > 0).sum() == 41

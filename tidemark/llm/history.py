@@ -1,21 +1,29 @@
 """Deduplicating new batches against everything accepted before.
 
-Method: a segment index. Every accepted record is stored as its segments (the cells of ``near``: a
-segment of the fingerprint, with the record's length and the segment's position in the global order)
-and as its set of word sequences. A batch is cut into segments itself, only its selected ones are
-looked up, candidates are verified on the stored sets within the bound, and what is accepted is
-appended. Neither a probe nor an append reads a text of the history. The similarity asked for is
-Jaccard's, under which a reordered copy is near although its edit distance is not bounded; the bound
-verified is therefore that on the symmetric difference of the sets, the edit distance of the sorted
-sequences.
-
-Within and between batches the order counts: a record similar to a rejected one may be accepted.
-Acceptance is decided in rounds; a record is accepted once nothing undecided before it concerns it,
-and rejected once something accepted before it does.
+Method: a segment index for edit distance. A record's string is the sorted sequence of its word
+sequences' hashes; inserting and deleting are its edits, so that the edit distance of two strings is the
+symmetric difference of their sets, and a similarity of at least ``t`` bounds it by
+(1 - t) / (1 + t) * (|A| + |B|). A string is cut into a number of segments fixed by its length: the
+(1 - t) * length + COMMON rarest items are a segment each, the rest is one that is never looked up. Each
+segment is stored with its value, the string's length and its position in the order. Two strings within
+the bound agree in COMMON segments after which enough is left of both (``near``). A batch looks up only
+its selected segments, candidates are verified by the bounded edit distance of the stored strings, and
+what was accepted is appended.
+
+The strings are not the texts themselves: the similarity asked for is Jaccard's, under which a reordered
+copy is near although the edit distance of the texts is as large as the texts.
+
+The index lies in folders by bucket of the segment's value, the set's id and the text's digest. A batch
+reads the buckets it asks for and no text of the history. Within and between batches the order counts: a
+record similar to a rejected one may be accepted. Inside a batch, acceptance is decided in rounds; a
+record is accepted once nothing undecided before it concerns it, and rejected once something accepted
+before it does.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import zlib
 from dataclasses import dataclass
 
@@ -23,20 +31,31 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, released
 from . import near
+from ._streams import partitions
 
 SPACE = "all"
+TABLES = {
+    "segments": "cell long, rid long, size int, rank int, bucket int",
+    "strings": "rid long, items binary, bucket int",
+    "values": "v long, w long, bucket int",
+}
+#: The history's segments are cut in so many turns, which bounds what is shuffled at a time.
+TURNS = 4
 
 
-def _texts(rows: DataFrame, text: str, probe: bool) -> DataFrame:
-    return rows.select(F.lit(SPACE).alias("space"), F.lit("").alias("key"), F.col(text).alias("text"), F.lit(probe).alias("probe"))
+def _values(rows: DataFrame, hashed: str, text: str, *keep: str) -> DataFrame:
+    """``keep, v, w``: 128 bits for the lower-case hash and for the text of each row; nulls have none."""
+    digest = lambda kind, c: F.when(c.isNotNull(), F.sha2(F.concat(F.lit(kind), c), 256))
+    both = rows.select(*keep, F.explode(F.array(digest("h", F.lower(hashed)), digest("t", F.col(text)))).alias("d")).filter("d is not null")
+    half = lambda at: F.conv(F.substring("d", at, 15), 16, 10).cast("long")
+    return both.select(*keep, half(1).alias("v"), half(16).alias("w")).distinct()
 
 
 @dataclass(frozen=True)
 class SegmentIndex:
-    """An index stored under ``path``: ``order`` (fixed when it is created), ``cells`` and ``sets``.
-    Appends add files; a set that is appended twice is stored twice and found once."""
+    """An index stored under ``path``. Appends add files; ``rebuild`` orders the segments anew."""
 
     spark: SparkSession
     path: str
@@ -45,109 +64,159 @@ class SegmentIndex:
     buckets: int
 
     @staticmethod
-    def create(history: DataFrame, text: str, path: str, threshold: float = 0.8, width: int = 5, buckets: int | None = None) -> SegmentIndex:
+    def create(history: DataFrame, text: str, hashed: str, path: str, threshold: float = 0.8, width: int = 5, buckets: int | None = None) -> SegmentIndex:
+        """Reads the history's texts once for their strings and once for their digests."""
         spark = history.sparkSession
-        profiled = near.profile(_texts(history, text, False), width)
-        order = near.segment_order(profiled)
-        blob = zlib.compress(order.tobytes(), 1)
-        spark.createDataFrame([(bytearray(blob),)], "levels binary").write.parquet(f"{path}/order")
-        made = SegmentIndex(spark, path, threshold, width, buckets or near.bucket_count(profiled, threshold))
-        made.append(history, text)
-        return made
+        index = SegmentIndex(spark, path, threshold, width, buckets or partitions(history))
+        records = history.select(F.lit(SPACE).alias("space"), F.col(text).alias("text"))
+        strings = near.set_rows(records, width).withColumn("bucket", index._bucket("rid"))
+        # Copies met by several tasks meet again in their bucket: one shuffle for both.
+        once = strings.repartition(index.buckets, "bucket").groupBy("bucket", "rid").agg(F.first("items").alias("items"))
+        index._write("strings", once, placed=True)
+        index._write("values", _values(history, hashed, text).withColumn("bucket", index._bucket("v")))
+        return index.rebuild()
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> SegmentIndex:
+        head = spark.read.parquet(f"{path}/head").head()
+        return SegmentIndex(spark, path, **json.loads(head.settings))
+
+    def rebuild(self) -> SegmentIndex:
+        """Orders the segments by what is stored now and cuts all strings anew; reads no text."""
+        settings = json.dumps({"threshold": self.threshold, "width": self.width, "buckets": self.buckets})
+        strings = self._load("strings").select("rid", (F.octet_length("items") / 8).cast("int").alias("size"), "items")
+        order = near.sequence_order(near.counted(strings))
+        blob = bytearray(zlib.compress(order.tobytes(), 1))
+        turns = min(TURNS, self.buckets)
+        made = near.cells_of_sets(strings, order, self.threshold).withColumn("bucket", self._bucket("cell"))
+        for turn in range(turns):
+            self._write("segments", made.filter(F.col("bucket") % turns == turn), "append" if turn else "overwrite")
+        self.spark.createDataFrame([(settings, blob)], "settings string, levels binary").write.mode("overwrite").parquet(f"{self.path}/head")
+        return self
 
     def order(self) -> np.ndarray:
-        row = self.spark.read.parquet(f"{self.path}/order").head()
-        return np.frombuffer(zlib.decompress(row[0]), np.uint8)
-
-    def append(self, accepted: DataFrame, text: str) -> None:
-        rows = _texts(accepted, text, False)
-        near.cells(rows, self.order(), self.threshold, self.width, self.buckets).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/cells")
-        near.item_sets(rows, None, self.width).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/sets")
-
-    def probe(self, batch: DataFrame, text: str) -> DataFrame:
-        """``small, large, similarity``: links of the batch's sets with stored sets and with each other."""
-        rows = _texts(batch, text, True)
-        stored = self.spark.read.schema("bucket int, blob binary").parquet(f"{self.path}/cells")
-        mine = near.cells(rows, self.order(), self.threshold, self.width, self.buckets)
-        pairs = materialize(near.candidates(stored.unionByName(mine), self.threshold), "candidates")
-        sets = self.spark.read.schema("rid long, items binary").parquet(f"{self.path}/sets")
-        involved = pairs.select(F.explode(F.array("small", "large")).alias("rid")).distinct()
-        known = sets.join(involved, "rid", "left_semi").unionByName(near.item_sets(rows, pairs, self.width))
-        known = known.groupBy("rid").agg(F.first("items").alias("items"))
-        return materialize(near.verify(known, pairs, self.threshold), "links")
-
-
-def _values(rows: DataFrame, id_column: str | None, hashed: str, text: str) -> DataFrame:
-    """``(id,) v``: the lower-case hash and the text's digest of each row; nulls have none."""
-    digest: Column = F.concat(F.lit("t"), F.sha2(text, 256))
-    keep = [id_column] if id_column else []
-    both = rows.select(*keep, F.explode(F.array(F.concat(F.lit("h"), F.lower(hashed)), digest)).alias("v"))
-    return both.filter("v is not null")
+        return np.frombuffer(zlib.decompress(self.spark.read.parquet(f"{self.path}/head").head().levels), np.uint8)
+
+    def _bucket(self, c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
+
+    def _load(self, table: str, wanted: DataFrame | None = None) -> DataFrame:
+        """A table, or its buckets in ``wanted.bucket``: at most ``buckets`` numbers."""
+        rows = self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{table}")
+        if wanted is None:
+            return rows
+        numbers = [r[0] for r in wanted.select("bucket").distinct().collect()]
+        return rows.filter(F.col("bucket").isin(numbers)) if len(numbers) < self.buckets else rows
+
+    def _write(self, table: str, rows: DataFrame, mode: str = "append", placed: bool = False) -> None:
+        names = [c.split()[0] for c in TABLES[table].split(", ")]
+        rows = rows.select(*names)
+        rows = rows if placed else rows.repartition(self.buckets, "bucket")
+        with released(self.spark):
+            rows.write.mode(mode).partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{table}")
+
+    def strings(self, batch: DataFrame, text: str, number: str) -> DataFrame:
+        """``rid, size, items, number`` of the batch's records with words enough. Stored."""
+        rows = batch.select(F.lit(SPACE).alias("space"), F.col(text).alias("text"), F.col(number).cast("long").alias("number"))
+        return materialize(near.set_rows(rows, self.width, "number"), "strings")
+
+    def segments(self, strings: DataFrame) -> DataFrame:
+        """The selected segments of the batch's strings, each string once. Stored."""
+        once = strings.groupBy("rid").agg(F.first("size").alias("size"), F.first("items").alias("items"))
+        made = near.cells_of_sets(once, self.order(), self.threshold).withColumn("bucket", self._bucket("cell"))
+        return materialize(made, "segments")
+
+    def append(self, strings: DataFrame, segments: DataFrame, values: DataFrame) -> None:
+        """Adds what was accepted."""
+        self._write("strings", strings.select("rid", "items").dropDuplicates(["rid"]).withColumn("bucket", self._bucket("rid")))
+        self._write("segments", segments)
+        self._write("values", values.withColumn("bucket", self._bucket("v")))
+
+    def probe(self, strings: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(``rid`` of the batch's strings that are stored or near a stored one, ``small, large`` of near
+        strings in the batch). Both are stored."""
+        stored = near.sift(self._load("segments", segments), "cell", segments.select("cell")).filter("hit")
+        met = near.meet(segments, stored, self.threshold, False).withColumn("known", F.lit(True))
+        own = near.meet(segments, segments, self.threshold, True).withColumn("known", F.lit(False))
+        pairs = materialize(met.unionByName(own), "candidates")
+        known = pairs.filter("known").select(F.col("large").alias("rid")).distinct().withColumn("bucket", self._bucket("rid"))
+        there = near.sift(self._load("strings", known), "rid", known.select("rid")).filter("hit").select("rid", "items")
+        sets = there.unionByName(strings.select("rid", "items"))
+        unequal = pairs.filter("small <> large").select("small", "large", "size_small", "size_large").distinct()
+        found = materialize(near.verify(sets, unequal, self.threshold).select("small", "large"), "near")
+        direct = pairs.filter("known").join(found, ["small", "large"], "left_semi").unionByName(pairs.filter("known and small = large"))
+        inside = pairs.filter("not known").join(found, ["small", "large"], "left_semi")
+        return direct.select(F.col("small").alias("rid")).distinct(), inside.select("small", "large")
+
+    def judge(self, batch: DataFrame, vectors: DataFrame, number: str, chunk: str, hashed: str, text: str) -> DataFrame:
+        """``number`` of the batch's cases; the others are appended. Stored."""
+        strings = self.strings(batch, text, number)
+        segments = self.segments(strings)
+        near_stored, inside = self.probe(strings, segments)
+        ids = batch.select(F.col(number).cast("long").alias("number"), F.xxhash64(chunk).alias("mark"), F.col(chunk).alias("chunk")).filter("chunk is not null")
+        there = near.sift(vectors.select(F.xxhash64(chunk).alias("mark"), F.col(chunk).alias("chunk")), "mark", ids.select("mark")).filter("hit")
+        values = materialize(_values(batch.withColumn("number", F.col(number).cast("long")), hashed, text, "number").withColumn("bucket", self._bucket("v")), "values")
+        stored = near.sift(self._load("values", values), "v", values.select("v")).filter("hit")
+        direct = (
+            ids.join(there.select("chunk").distinct(), "chunk", "left_semi").select("number")
+            .unionByName(values.join(stored.select("v", "w"), ["v", "w"], "left_semi").select("number"))
+            .unionByName(strings.join(near_stored, "rid", "left_semi").select("number"))
+        )
+        direct = materialize(direct.distinct(), "direct")
+
+        # What is left: values that several records share (a hash, a text, a set) and links of sets.
+        name = lambda kind, *c: F.concat_ws("|", F.lit(kind), *[F.col(x).cast("string") for x in c])
+        every = values.select("number", name("v", "v", "w").alias("v")).unionByName(strings.select("number", name("r", "rid").alias("v")))
+        every = every.join(direct, "number", "left_anti")
+        pairs = inside.select(name("r", "small").alias("v"), name("r", "large").alias("w"))
+        edges = materialize(pairs.unionByName(pairs.select(F.col("w").alias("v"), F.col("v").alias("w"))), "edges")
+        busy = every.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("v").unionByName(edges.select("v")).distinct()
+        contested = materialize(every.join(busy, "v", "left_semi"), "contested")
+        cases = materialize(direct.unionByName(_refuse(contested, edges)), "cases")
+
+        kept = strings.join(cases, "number", "left_anti")
+        self.append(kept, segments.join(kept.select("rid"), "rid", "left_semi"), values.join(cases, "number", "left_anti").select("v", "w").distinct())
+        return cases
 
 
 def already_known(
     arrivals: DataFrame, history: DataFrame, vectors: DataFrame, path: str, number: str = "arrivalNo", batch: str = "batchNo",
     chunk: str = "chunkId", hashed: str = "chunkHash", text: str = "chunkText", threshold: float = 0.6, width: int = 3,
 ) -> DataFrame:
-    """``number`` of the arrivals that bring nothing new.
+    """``number`` of the arrivals that bring nothing new. The batches are judged one after another, each
+    against the index of the history and of what was accepted before it.
 
     Defined cases: an arrival whose hash and text are null can only be a case by its id; texts of fewer
-    than ``width`` words are compared as a whole only; null ids match nothing; repeated history rows count
-    once; empty tables are fine."""
-    index = SegmentIndex.create(history, text, path, threshold, width)
-    links = index.probe(arrivals, text)
-    ends = links.select(F.col("small").alias("a"), F.col("large").alias("b"))
-    ends = ends.unionByName(links.select(F.col("large").alias("a"), F.col("small").alias("b")))
-
-    order = (F.coalesce(F.col(batch), F.lit(0)).cast("long") * F.lit(1 << 42) + F.col(number)).alias("ord")
-    rows = arrivals.select(order, number, chunk, hashed, text)
-    # The set ids of arrivals and history, from the stored profiles.
-    mine = near.profile(rows.select(F.lit(SPACE).alias("space"), F.col("ord").cast("string").alias("key"), F.col(text).alias("text")), width)
-    sets = near.members(mine).select(F.col("key").cast("long").alias("ord"), "rid")
-    stored = index.spark.read.schema("rid long, items binary").parquet(f"{path}/sets").select("rid").distinct()
-
-    values = _values(rows, "ord", hashed, text)
-    by_id = rows.join(vectors.select(chunk).distinct(), chunk, "left_semi").select("ord")
-    by_value = values.join(_values(history, None, hashed, text).distinct(), "v", "left_semi").select("ord")
-    near_stored = ends.join(stored.withColumnRenamed("rid", "b"), "b", "left_semi").select(F.col("a").alias("rid")).unionByName(stored).distinct()
-    by_set = sets.join(near_stored, "rid", "left_semi").select("ord")
-    direct = materialize(by_id.unionByName(by_value).unionByName(by_set).distinct(), "direct")
-
-    # What is left: which arrivals concern each other, as values they share and links of their sets.
-    values = values.unionByName(sets.select("ord", F.concat(F.lit("r"), F.col("rid").cast("string")).alias("v")))
-    values = values.join(direct, "ord", "left_anti")
-    shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    edges = ends.select(F.concat(F.lit("r"), F.col("a").cast("string")).alias("v"), F.concat(F.lit("r"), F.col("b").cast("string")).alias("w"))
-    present = shared.select("v")
-    edges = materialize(edges.join(present, "v", "left_semi").join(present.withColumnRenamed("v", "w"), "w", "left_semi"), "edges")
-    busy = shared.filter("n > 1").select("v").unionByName(edges.select("v")).distinct()
-    contested = materialize(values.join(busy, "v", "left_semi"), "contested")
-    refused = _refuse(contested, edges)
-    found = direct.unionByName(refused)
-    return rows.join(found, "ord", "left_semi").select(number)
+    than ``width`` words are compared as a whole only; null ids match nothing; a null batch number comes
+    first; repeated history rows count once; empty tables are fine."""
+    index = SegmentIndex.create(history, text, hashed, path, threshold, width)
+    order = F.coalesce(F.col(batch), F.lit(-(2**31)))
+    numbers = sorted(r[0] for r in arrivals.select(order.alias("b")).distinct().collect())  # one row per delivery
+    found = [index.judge(arrivals.filter(order == n), vectors, number, chunk, hashed, text) for n in numbers]
+    none = arrivals.sparkSession.createDataFrame([], "number long")
+    cases = functools.reduce(DataFrame.unionByName, found, none)
+    return cases.select(F.col("number").cast(arrivals.schema[number].dataType).alias(number))
 
 
 def _refuse(values: DataFrame, edges: DataFrame) -> DataFrame:
-    """``ord`` of the records that an accepted earlier one concerns. ``values``: ord, v; two records
-    concern each other if they share a value or hold the two values of an edge."""
-
-    def least(of: DataFrame, name: str) -> DataFrame:
-        """For each open record the least ord of those in ``of`` that concern it, itself included."""
-        by_value = of.groupBy("v").agg(F.min("ord").alias("m"))
+    """``number`` of the records that an accepted earlier one concerns. ``values``: number, v; two records
+    concern each other if they share a value or hold the two values of an edge. Every record without an
+    undecided one before it is decided in a round, and what it concerns with it, so the rounds are as many
+    as the longest chain of records that wait for one another, halved."""
+
+    def least(of: DataFrame, rows: DataFrame) -> DataFrame:
+        """For each record of ``rows`` the least number in ``of`` that concerns it."""
+        by_value = of.groupBy("v").agg(F.min("number").alias("m"))
         across = edges.join(by_value.withColumnRenamed("v", "w"), "w").select("v", "m")
         all_values = by_value.unionByName(across).groupBy("v").agg(F.min("m").alias("m"))
-        return open_.join(all_values, "v").groupBy("ord").agg(F.min("m").alias(name))
-
-    open_ = values
-    spark = values.sparkSession
-    accepted = spark.createDataFrame([], values.schema)
-    refused = spark.createDataFrame([], "ord long")
-    while not open_.isEmpty():
-        first = least(open_, "m").filter("m = ord").select("ord")
-        fresh = materialize(open_.join(first, "ord", "left_semi"), "accepted")
-        out = materialize(least(fresh, "m").filter("m < ord").select("ord").distinct(), "refused")
-        refused = refused.unionByName(out)
-        accepted = fresh
-        done = out.unionByName(accepted.select("ord").distinct())
-        open_ = materialize(open_.join(done, "ord", "left_anti"), "open")
-    return refused
+        return rows.join(all_values, "v").groupBy("number").agg(F.min("m").alias("m"))
+
+    undecided, refused = values, []
+    while not undecided.isEmpty():
+        first = least(undecided, undecided).filter("m >= number").select("number")
+        fresh = undecided.join(first, "number", "left_semi")
+        out = least(fresh, undecided).filter("m < number").select("number", F.lit(True).alias("out"))
+        decided = materialize(out.unionByName(first.select("number", F.lit(False).alias("out"))), "decided")
+        refused.append(decided.filter("out").select("number"))
+        undecided = materialize(undecided.join(decided, "number", "left_anti"), "undecided")
+    return functools.reduce(DataFrame.unionByName, refused, values.sparkSession.createDataFrame([], "number long"))

@@ -1,23 +1,30 @@
 """The similarity join behind near-duplicate grouping and batch deduplication.
 
-A record is the set of its three-word sequences; the similarity of two records is the Jaccard
-similarity of their sets. Method: segment popcounts. The set's fingerprint is a bit string of 2**64
-bits, cut into segments; a record's embedding is its count of set bits in each segment. The Manhattan
-distance of two embeddings never exceeds the size of the sets' symmetric difference, which a
-similarity of at least ``t`` bounds by (1 - t) / (1 + t) * (|A| + |B|).
-
-At t = 0.6 that bound is a quarter of both sizes, and a grid over few segments keeps nearly all
-pairs of unrelated records of like size. The grid is therefore laid over many narrow segments, where
-an embedding is sparse: its cells (segment, count) are ordered by how many records are in a segment,
-rarest first, and two records within the bound always share a cell among their first (1 - t) * size.
-That range join loses nothing. Cells are stored in blobs, one per bucket of segments, and a bucket is
-joined in one task; the bound is tightened by each cell's position. On a shared cell this is prefix
-filtering. Pairs that meet are then held against the Manhattan bound itself, on the parities of the
-popcounts of PARITIES segments, whose distance is never above that of the popcounts, and verified on
-the sets themselves. No step loses a pair.
-
-What is shared with all tasks is the table of segment sizes, ``2**SEGMENT_BITS`` bytes whatever the
-data, and a filter of ``FILTER_WORDS`` words.
+A record is the set of its word sequences; the similarity of two records is the Jaccard similarity of
+their sets. At least ``t`` means a symmetric difference of at most (1 - t) / (1 + t) * (|A| + |B|).
+
+Pairs are found in three steps, none of which loses one:
+
+1. An equality join on rare word sequences (prefix filtering). Each set is put in a global order, rarest
+   first. Two similar sets share at least ``need`` = ceil(t / (1 + t) * (|A| + |B|)) sequences, and the
+   first COMMON of the shared ones (``need`` if that is less) stand among the first (1 - t) * size +
+   COMMON places of both. A pair is kept if it meets that often, counting only meetings after which
+   enough is left of both sets.
+2. Segment popcounts. A set's fingerprint is a string of 2**64 bits cut into SEGMENTS; its embedding is
+   the number of set bits in each segment. The Manhattan distance of two embeddings never exceeds the
+   symmetric difference, so pairs further apart than the bound go.
+3. The sets themselves, with their full 64-bit hashes.
+
+A grid over the embeddings cannot replace the first step: at t = 0.6 the bound is a quarter of both
+sizes, and unrelated records of 150 sequences are only 1.5 times as far apart over 64 segments.
+
+The join on sequences is a plain join, so a sequence that very many records have is split by adaptive
+execution. Sets are verified in blocks: a pair's place is the smallest neighbour of its smaller set, and
+in a place with many sets a block of either side, so that a set travels once for a small group and once
+per block for a large one. Copies of a set are one row before any join.
+
+What is shared with all tasks is the table of sequence frequencies, ``2**ORDER_BITS`` bytes, and filters
+of FILTER_WORDS rows, whatever the data.
 """
 
 from __future__ import annotations
@@ -27,32 +34,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import _kernels as k
-from ._streams import partitions
+from ._streams import partitions, runs
 
 U64 = np.uint64
-SEGMENT_BITS = 22
+ORDER_BITS = 22
 SLOTS = 64
 #: Tables of counts that one task adds up.
 FAN = 256
-SKETCH = 128
-#: Segments whose popcounts' parities are compared, 64 in a word.
-PARITIES = 512
+#: Segments of the fingerprint whose popcounts are compared.
+SEGMENTS = 64
+#: How often a pair must meet on rare sequences.
+COMMON = 3
 FILTER_WORDS = 1 << 17
-#: Cells in a bucket: what one task joins at a time.
-BUCKET = 1_000_000
-_MULTIPLIERS = k.mix(np.arange(1, SKETCH + 1, dtype=U64) * U64(0xD1B54A32D192ED03)) | U64(1)
+#: Members of sets in a block of the verification.
+BLOCK = 100_000
+CELLS = "cell long, rid long, size int, rank int"
+SETS = "rid long, size int, items binary"
 
 
 def _salt(space: str) -> np.uint64:
-    return U64(zlib.crc32(space.encode()) * 0x9E3779B97F4A7C15 % 2**64)
+    return U64(zlib.crc32((space or "").encode()) * 0x9E3779B97F4A7C15 % 2**64)
 
 
-def _sets(spaces: list[str], texts: list[str | None], width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def sets_of(spaces: list[str], texts: list[str | None], width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices of the texts: (from, to, hashes by owner, owners, sizes, record ids)."""
     for a, b in k.slices(texts):
         h, owner = k.shingles([t or "" for t in texts[a:b]], width)
@@ -66,36 +75,63 @@ def _sets(spaces: list[str], texts: list[str | None], width: int) -> Iterator[tu
         yield a, b, h, owner, size, k.mix(total + size.astype(U64)).view(np.int64)
 
 
+def sift(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` with ``hit``, false only where the long ``key`` is surely not in ``wanted``'s one column.
+    The keys must be hashes. A bit for each wanted key in a table of FILTER_WORDS rows is sent along."""
+    word = lambda c: F.pmod(F.col(c), F.lit(FILTER_WORDS)).cast("int")
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(`{c}`, {FILTER_WORDS.bit_length() - 1}), 64) as int))")
+    table = wanted.toDF("_key").filter("_key is not null").groupBy(word("_key").alias("_word")).agg(F.bit_or(bit("_key")).alias("_bits"))
+    joined = rows.withColumn("_at", word(key)).join(F.broadcast(table), F.col("_at") == F.col("_word"), "left")
+    return joined.withColumn("hit", F.coalesce(F.col("_bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("_at", "_word", "_bits")
+
+
+# --- the order of the sequences ---------------------------------------------------------------------
+
 PROFILE = "space string, key string, rid long, size int, slot int, blob binary"
 
 
+def _slot_rows(counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    parts = np.split(counts.astype(np.uint32), SLOTS)
+    return pa.array(range(SLOTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())
+
+
+class _Counts:
+    """How many sets have a sequence, by the upper ORDER_BITS of its hash."""
+
+    def __init__(self) -> None:
+        self.counts, self.pending, self.held = np.zeros(1 << ORDER_BITS, np.int32), [], 0
+
+    def add(self, h: np.ndarray) -> None:
+        self.pending.append((h >> U64(64 - ORDER_BITS)).astype(np.int32))
+        self.held += len(h)
+        if self.held > 4_000_000:
+            self.settle()
+
+    def settle(self) -> np.ndarray:
+        if self.pending:
+            self.counts += np.bincount(np.concatenate(self.pending), minlength=len(self.counts)).astype(np.int32)
+        self.pending, self.held = [], 0
+        return self.counts
+
+
 def profile(records: DataFrame, width: int = 3) -> DataFrame:
     """Of ``space, key, text``: a row (space, key, rid, size) for each record with words enough, equal
-    sets having equal rids, and rows (slot, blob) with the counts of segments. Stored."""
+    sets having equal rids, and rows (slot, blob) with the counts of sequences. Stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, pending, held = np.zeros(1 << SEGMENT_BITS, np.int32), [], 0
+        counts = _Counts()
         for batch in batches:
             spaces, keys, texts = (batch.column(c).to_pylist() for c in ("space", "key", "text"))
-            for a, b, h, _, size, rid in _sets(spaces, texts, width):
-                pending.append((h >> U64(64 - SEGMENT_BITS)).astype(np.int32))
-                held += len(h)
-                if held > 4_000_000:
-                    counts += np.bincount(np.concatenate(pending), minlength=len(counts)).astype(np.int32)
-                    pending, held = [], 0
+            for a, _, h, _, size, rid in sets_of(spaces, texts, width):
+                counts.add(h)
                 has = np.flatnonzero(size)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([spaces[a + i] for i in has], pa.string()), pa.array([keys[a + i] for i in has], pa.string()), pa.array(rid[has]), pa.array(size[has], pa.int32()), pa.nulls(len(has), pa.int32()), pa.nulls(len(has), pa.binary())],
                     names=["space", "key", "rid", "size", "slot", "blob"],
                 )
-        if pending:
-            counts += np.bincount(np.concatenate(pending), minlength=len(counts)).astype(np.int32)
-        if counts.any():
-            parts = np.split(counts.astype(np.uint32), SLOTS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(SLOTS, pa.string()), pa.nulls(SLOTS, pa.string()), pa.nulls(SLOTS, pa.int64()), pa.nulls(SLOTS, pa.int32()), pa.array(range(SLOTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())],
-                names=["space", "key", "rid", "size", "slot", "blob"],
-            )
+        if counts.settle().any():
+            slot, blob = _slot_rows(counts.counts)
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLOTS, pa.string()), pa.nulls(SLOTS, pa.string()), pa.nulls(SLOTS, pa.int64()), pa.nulls(SLOTS, pa.int32()), slot, blob], names=["space", "key", "rid", "size", "slot", "blob"])
 
     return materialize(records.select("space", "key", "text").mapInArrow(run, PROFILE), "profile")
 
@@ -105,9 +141,24 @@ def members(profiled: DataFrame) -> DataFrame:
     return profiled.filter("slot is null").select("space", "key", "rid", "size").distinct()
 
 
-def segment_order(profiled: DataFrame) -> np.ndarray:
-    """A byte for each segment that grows with the number of records in it: 2**SEGMENT_BITS bytes. The
-    tasks' counts are added in groups of at most FAN until one is left of each slot."""
+def counted(sets: DataFrame) -> DataFrame:
+    """``slot, blob`` of SETS: the counts of sequences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _Counts()
+        for batch in batches:
+            for blob in batch.column("items").to_pylist():
+                counts.add(np.frombuffer(blob, U64))
+        if counts.settle().any():
+            yield pa.RecordBatch.from_arrays(list(_slot_rows(counts.counts)), names=["slot", "blob"])
+
+    return sets.select("items").mapInArrow(run, "slot int, blob binary")
+
+
+def sequence_order(slots: DataFrame) -> np.ndarray:
+    """A byte for each prefix of a hash that grows with the number of sets below it: 2**ORDER_BITS bytes.
+    ``slots``: slot, blob. The tasks' counts are added in groups of at most FAN until one is left of each
+    slot."""
 
     def added(rows: pa.Table) -> np.ndarray:
         return sum(np.frombuffer(zlib.decompress(b), np.uint32).astype(np.int64) for b in rows.column("blob").to_pylist())
@@ -120,232 +171,195 @@ def segment_order(profiled: DataFrame) -> np.ndarray:
         levels = np.minimum(255, np.round(8 * np.log2(1 + added(rows)))).astype(np.uint8)
         return pa.table({"slot": rows.column("slot").slice(0, 1), "blob": pa.array([zlib.compress(levels.tobytes(), 1)], pa.binary())})
 
-    rows = profiled.filter("slot is not null").select("slot", "blob")
+    rows = slots.filter("slot is not null").select("slot", "blob")
     n = rows.count() // SLOTS
     while n > FAN:
         n = -(-n // FAN)
         rows = rows.groupBy("slot", F.pmod(F.xxhash64("blob"), F.lit(n)).alias("part")).applyInArrow(add, "slot int, blob binary")
-    out = np.zeros(1 << SEGMENT_BITS, np.uint8)
+    out = np.zeros(1 << ORDER_BITS, np.uint8)
     step = len(out) // SLOTS
     for r in rows.groupBy("slot").applyInArrow(level, "slot int, blob binary").collect():  # SLOTS rows
         out[r.slot * step : (r.slot + 1) * step] = np.frombuffer(zlib.decompress(r.blob), np.uint8)
     return out
 
 
-def _fingerprints(h: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """128 bits of each set, as two words: a bit of the minimum under each of 128 permutations."""
-    heads = np.concatenate([[0], np.cumsum(size)[:-1]])
-    out = np.zeros((len(size), 2), U64)
-    for i, m in enumerate(_MULTIPLIERS):
-        least = np.minimum.reduceat(h * m, heads)
-        out[:, i // 64] |= (k.mix(least) & U64(1)) << U64(i % 64)
-    return out
+# --- sets and their first sequences -----------------------------------------------------------------
 
 
-def _parities(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """The popcounts' parities of PARITIES segments of each set. Two sets differ in no more of them than
-    in members."""
-    out = np.zeros(n * (PARITIES // 64), U64)
-    segment = (h % U64(PARITIES)).astype(np.int64)
-    np.bitwise_xor.at(out, owner * (PARITIES // 64) + segment // 64, U64(1) << (segment % 64).astype(U64))
-    return out.reshape(n, -1)
+def set_rows(records: DataFrame, width: int, extra: str | None = None) -> DataFrame:
+    """SETS of ``space, text``: the sorted hashes of each set. ``extra`` names a long column to keep; then
+    every record has a row, otherwise a task emits a set once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            own = batch.column(extra).to_pylist() if extra else None
+            for a, _, h, _, size, rid in sets_of(batch.column("space").to_pylist(), batch.column("text").to_pylist(), width):
+                ends, use, blobs = np.cumsum(size), [], []
+                for i in np.flatnonzero(size):
+                    if own is None:
+                        if int(rid[i]) in seen:
+                            continue
+                        seen.add(int(rid[i]))
+                    use.append(i)
+                    blobs.append(np.sort(h[ends[i] - size[i] : ends[i]]).tobytes())
+                columns = [pa.array(rid[use], pa.int64()), pa.array(size[use], pa.int32()), pa.array(blobs, pa.binary())]
+                names = ["rid", "size", "items"]
+                if extra:
+                    columns, names = [*columns, pa.array([own[a + i] for i in use], pa.int64())], [*names, extra]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-def screen(threshold: float) -> int:
-    """The most differing bits of two fingerprints that may still reach the threshold: the mean at the
-    threshold and 5.1 standard deviations."""
-    p = (1 - threshold) / 2
-    return int(np.ceil(SKETCH * p + 5.1 * (SKETCH * p * (1 - p)) ** 0.5))
+    return records.select("space", "text", *([extra] if extra else [])).mapInArrow(run, SETS + (f", {extra} long" if extra else ""))
 
 
-_HEAD = np.dtype([("records", np.uint32), ("cells", np.uint32)])
+def _first(h: np.ndarray, size: np.ndarray, level: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, set number, rank) of the first sequences of sets given one after another."""
+    owner = np.repeat(np.arange(len(size)), size)
+    by = np.lexsort((h, level[(h >> U64(64 - ORDER_BITS)).astype(np.int64)], owner))
+    h = h[by]
+    rank = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+    first = rank <= (size - np.ceil(threshold * size - 1e-9) + COMMON - 1)[owner]
+    return h[first], owner[first], rank[first]
 
 
-def _pack(rid: np.ndarray, size: np.ndarray, sketch: np.ndarray, probe: np.ndarray, cell: np.ndarray, local: np.ndarray, rank: np.ndarray) -> bytes:
-    head = np.array([(len(rid), len(cell))], _HEAD)
-    wide = np.uint16 if len(rid) < 65536 else np.uint32
-    high = (cell >> U64(32)).astype(np.uint8)
-    return b"".join(x.tobytes() for x in (head, rid, size.astype(np.uint32), sketch, probe.astype(np.uint8), cell.astype(np.uint32), high, local.astype(wide), rank.astype(np.uint32)))
+def _cell_batch(h: np.ndarray, size: np.ndarray, rid: np.ndarray, level: np.ndarray, threshold: float) -> pa.RecordBatch:
+    cell, owner, rank = _first(h, size, level, threshold)
+    return pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(rid[owner]), pa.array(size[owner], pa.int32()), pa.array(rank, pa.int32())], names=["cell", "rid", "size", "rank"])
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    n, c = (int(x) for x in np.frombuffer(blob, _HEAD, 1)[0])
-    at = _HEAD.itemsize
-    out = []
-    for kind, count in ((np.int64, n), (np.uint32, n), (U64, PARITIES // 64 * n), (np.uint8, n), (np.uint32, c), (np.uint8, c), (np.uint16 if n < 65536 else np.uint32, c), (np.uint32, c)):
-        out.append(np.frombuffer(blob, kind, count, at))
-        at += out[-1].nbytes
-    rid, size, sketch, probe, low, high, local, rank = out
-    return rid, size, sketch.reshape(-1, PARITIES // 64), probe, low.astype(U64) | high.astype(U64) << U64(32), local, rank
+def cells_of_sets(sets: DataFrame, order: np.ndarray, threshold: float) -> DataFrame:
+    """CELLS of SETS."""
+    shared = sets.sparkSession.sparkContext.broadcast(order)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                few = batch.slice(at, 1024)
+                h = np.frombuffer(b"".join(few.column("items").to_pylist()), U64)
+                yield _cell_batch(h, few.column("size").to_numpy().astype(np.int64), few.column("rid").to_numpy(), shared.value, threshold)
 
-def bucket_count(profiled: DataFrame, threshold: float) -> int:
-    """Buckets of about BUCKET cells, one for each shuffle partition at least."""
-    total = members(profiled).agg(F.sum(F.col("size") * (1 - threshold) + 1)).head()[0] or 0
-    return max(partitions(profiled), int(total // BUCKET) + 1)
+    return sets.select("rid", "size", "items").mapInArrow(run, CELLS)
 
 
-def cells(records: DataFrame, order: np.ndarray, threshold: float, width: int, buckets: int) -> DataFrame:
-    """``bucket, blob``: the first cells of every distinct set of ``space, key, text, probe``. A task
-    emits a set once, however many records have it."""
+def cells(records: DataFrame, profiled: DataFrame, order: np.ndarray, threshold: float, width: int) -> DataFrame:
+    """CELLS of ``space, key, text``: the first sequences of every distinct set, once. Records whose set
+    others have too (and a few more) are reduced to one by a shuffle of sets, the rest need none."""
+    rows = profiled.filter("slot is null").select(F.xxhash64("space", "key").alias("mark"), "rid")
+    many = rows.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    marked = sift(records.select("space", "text", F.xxhash64("space", "key").alias("mark")), "mark", rows.join(many, "rid", "left_semi").select("mark"))
     shared = records.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, seen = shared.value, set()
-        for batch in batches:
-            spaces, texts, probes = (batch.column(c).to_pylist() for c in ("space", "text", "probe"))
-            for a, b, h, owner, size, rid in _sets(spaces, texts, width):
-                probe = np.array(probes[a:b], bool)
-                fresh = np.zeros(b - a, bool)
-                for i in np.flatnonzero(size):
-                    mark = (int(rid[i]), bool(probe[i]))
-                    if mark not in seen:
-                        seen.add(mark)
-                        fresh[i] = True
-                use = fresh[owner]
-                if not use.any():
-                    continue
-                place = np.cumsum(fresh) - 1
-                h, owner = h[use], place[owner[use]]
-                size, rid, probe = size[fresh], rid[fresh], probe[fresh]
-                sketch = _parities(h, owner, len(size))
-                by = np.lexsort((h, level[(h >> U64(64 - SEGMENT_BITS)).astype(np.int64)], owner))
-                h, owner = h[by], owner[by]
-                rank = np.arange(len(h)) - np.concatenate([[0], np.cumsum(size)[:-1]])[owner]
-                first = rank <= size[owner] - np.ceil(threshold * size[owner] - 1e-9)
-                h, owner, rank = h[first], owner[first], rank[first]
-                bucket = ((k.mix(h) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
-                by = np.argsort(bucket, kind="stable")
-                numbers, starts = np.unique(bucket[by], return_index=True)
-                blobs = []
-                for part in np.split(by, starts[1:]):
-                    who, local = np.unique(owner[part], return_inverse=True)
-                    blobs.append(_pack(rid[who], size[who], sketch[who], probe[who], h[part] & U64(2**40 - 1), local, rank[part]))
-                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
-
-    return records.select("space", "key", "text", "probe").mapInArrow(run, "bucket int, blob binary")
-
-
-def _bucket_pairs(blobs: list[bytes], threshold: float) -> np.ndarray:
-    """(smaller set, larger set) rids of the pairs of a bucket that may reach the threshold."""
-    parts = [_unpack(blob) for blob in blobs]
-    base = np.cumsum([0, *(len(p[0]) for p in parts)])
-    rid, size, sketch, probe, cell, rank = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 4, 6))
-    owner = np.concatenate([p[5].astype(np.int64) + b for p, b in zip(parts, base[:-1], strict=True)])
-    size, rank, probe = size.astype(np.int64), rank.astype(np.int64), probe.astype(bool)
-    by = np.lexsort((rid[owner], size[owner], cell))
-    cell, owner, rank = cell[by], owner[by], rank[by]
-    r = rid[owner]
-    again = np.zeros(len(cell), bool)  # the same set from several tasks
-    again[1:] = (cell[1:] == cell[:-1]) & (r[1:] == r[:-1])
-    if again.any():
-        probe = probe | np.isin(rid, rid[probe])  # a set that is both probe and stored counts as probe
-        cell, owner, rank = cell[~again], owner[~again], rank[~again]
-    n = len(cell)
-    last = np.searchsorted(cell, cell, "right")
-    out, d = [], 1
-    alive = np.flatnonzero(np.arange(n) + 1 < last)
-    share = threshold / (1 + threshold)
-    while len(alive):
-        i, j = alive, alive + d
-        a, b = owner[i], owner[j]
-        near = size[a] >= threshold * size[b] - 1e-9
-        i, j, a, b = i[near], j[near], a[near], b[near]
-        alive = i
-        most = np.minimum(size[a] - rank[i], size[b] - rank[j])
-        ok = (most >= share * (size[a] + size[b]) - 1e-9) & (probe[a] | probe[b]) & (rid[a] != rid[b])
-        a, b = a[ok], b[ok]
-        ok = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1) <= (1 - 2 * share) * (size[a] + size[b]) + 1e-9
-        out.append(np.stack([rid[a[ok]], rid[b[ok]]], 1))
-        if len(out) > 64:
-            out = [np.unique(np.concatenate(out), axis=0)]
-        d += 1
-        alive = alive[alive + d < last[alive]]
-    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-
-
-def candidates(stored: DataFrame, threshold: float) -> DataFrame:
-    """``small, large``: rids of pairs within the bound, each once."""
-
-    def join(rows: pa.Table) -> pa.Table:
-        found = _bucket_pairs(rows.column("blob").to_pylist(), threshold)
-        return pa.table({"small": pa.array(found[:, 0]), "large": pa.array(found[:, 1])})
-
-    return stored.groupBy("bucket").applyInArrow(join, "small long, large long").distinct()
-
-
-def rid_filter(rids: DataFrame) -> np.ndarray:
-    """A bit for each ``rid``, in a table of FILTER_WORDS words: no bit is missing, some are shared."""
-    word = F.pmod("rid", F.lit(FILTER_WORDS)).cast("int")
-    bit = F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(rid, {FILTER_WORDS.bit_length() - 1}), 64) as int))")
-    out = np.zeros(FILTER_WORDS, np.int64)
-    for r in rids.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect():  # FILTER_WORDS rows at most
-        out[r.word] = r.bits
-    return out
-
-
-def item_sets(records: DataFrame, pairs: DataFrame | None = None, width: int = 3) -> DataFrame:
-    """``rid, items`` of the distinct sets of ``space, text``; with ``pairs`` only of those that occur in
-    one (and a few more: the filter that is sent along has a fixed size)."""
-    spark = records.sparkSession
-    shared = spark.sparkContext.broadcast(None if pairs is None else rid_filter(pairs.select(F.explode(F.array("small", "large")).alias("rid"))))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = shared.value, set()
         for batch in batches:
-            for _, _, h, owner, size, rid in _sets(batch.column("space").to_pylist(), batch.column("text").to_pylist(), width):
-                wanted = size > 0
-                if bits is not None:
-                    shift = (rid.view(U64) >> U64(FILTER_WORDS.bit_length() - 1)) % U64(64)
-                    wanted &= (bits[rid % FILTER_WORDS].view(U64) >> shift & U64(1)) == 1
-                ends = np.cumsum(size)
-                rids, sets = [], []
-                for i in np.flatnonzero(wanted):
-                    if int(rid[i]) not in seen:
-                        seen.add(int(rid[i]))
-                        one = np.sort(h[ends[i] - size[i] : ends[i]] >> U64(24))  # 40 bits of each hash
-                        rids.append(int(rid[i]))
-                        sets.append((one >> U64(8)).astype(np.uint32).tobytes() + (one & U64(255)).astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(sets, pa.binary())], names=["rid", "items"])
-
-    sets = records.select("space", "text").mapInArrow(emit, "rid long, items binary")
-    return sets.groupBy("rid").agg(F.first("items").alias("items"))
+            for _, _, h, _, size, rid in sets_of(batch.column("space").to_pylist(), batch.column("text").to_pylist(), width):
+                yield _cell_batch(h, size, rid, shared.value, threshold)
+
+    single = marked.filter("not hit").select("space", "text").mapInArrow(run, CELLS)
+    copied = set_rows(marked.filter("hit"), width).groupBy("rid").agg(F.first("size").alias("size"), F.first("items").alias("items"))
+    return single.unionByName(cells_of_sets(copied, order, threshold))
+
+
+# --- pairs ------------------------------------------------------------------------------------------
+
+
+def meet(a: DataFrame, b: DataFrame, threshold: float, own: bool) -> DataFrame:
+    """``small, large, size_small, size_large``: the sets of CELLS ``a`` and ``b`` that meet often enough.
+    With ``own`` the two are the same table and each pair comes once; otherwise ``small`` is of ``a``."""
+    side = lambda df, x: df.select("cell", F.col("rid").alias(x), F.col("size").alias(f"s{x}"), F.col("rank").alias(f"r{x}"))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("sx") + F.col("sy")) - 1e-9)
+    left = F.least(F.col("sx") - F.col("rx"), F.col("sy") - F.col("ry"))
+    near: Column = (F.col("sx") >= threshold * F.col("sy") - 1e-9) & (F.col("sy") >= threshold * F.col("sx") - 1e-9) & (left >= need - (COMMON - 1))
+    both = side(a, "x").join(side(b, "y"), "cell").filter(near & (F.col("x") < F.col("y")) if own else near)
+    seen = both.groupBy("x", "y", "sx", "sy").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.least(F.lit(COMMON), need))
+    return seen.select(F.col("x").alias("small"), F.col("y").alias("large"), F.col("sx").alias("size_small"), F.col("sy").alias("size_large"))
+
+
+def embedding(items: np.ndarray) -> np.ndarray:
+    """The popcounts of the fingerprint's SEGMENTS."""
+    return np.bincount((items % U64(SEGMENTS)).astype(np.int64), minlength=SEGMENTS)
+
+
+class _Place:
+    """The sets of a place, and its pairs against them."""
+
+    def __init__(self, threshold: float) -> None:
+        self.t, self.sets, self.counts = threshold, {}, {}
+
+    def put(self, rids: list[int], blobs: list[bytes]) -> None:
+        for rid, blob in zip(rids, blobs, strict=True):
+            if rid not in self.sets:
+                self.sets[rid] = np.frombuffer(blob, U64)
+                self.counts[rid] = embedding(self.sets[rid])
+
+    def compare(self, small: np.ndarray, large: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the pairs that reach the threshold, similarity); pairs sorted by ``small``."""
+        keep, found = [], []
+        heads = np.flatnonzero(np.concatenate([[True], small[1:] != small[:-1]]))
+        for a, b in zip(heads, [*heads[1:], len(small)], strict=True):
+            one = self.sets[int(small[a])]
+            others = [int(x) for x in large[a:b]]
+            size = np.array([len(self.sets[x]) for x in others])
+            apart = np.abs(np.stack([self.counts[x] for x in others]) - self.counts[int(small[a])]).sum(1)
+            near = np.flatnonzero(apart <= (1 - self.t) / (1 + self.t) * (size + len(one)) + 1e-9)
+            if not len(near):
+                continue
+            size = size[near]
+            every = np.concatenate([self.sets[others[i]] for i in near])
+            hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+            share = both / (size + len(one) - both)
+            ok = share >= self.t - 1e-12
+            keep.append(a + near[ok])
+            found.append(share[ok])
+        return (np.concatenate(keep), np.concatenate(found)) if keep else (np.empty(0, np.int64), np.empty(0))
 
 
 def verify(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """``small, large, similarity`` of the pairs that reach the threshold, from the sets themselves."""
-    one = pairs.join(sets.withColumnsRenamed({"rid": "small", "items": "small_items"}), "small")
-    both = one.join(sets.withColumnsRenamed({"rid": "large", "items": "large_items"}), "large").select("small", "large", "small_items", "large_items")
+    """``small, large, similarity`` of the pairs (as ``meet`` gives them, stored) that reach the threshold.
+    ``sets``: ``rid, items``, of all sets in a pair at least, a set possibly more than once."""
+    ends = pairs.select(F.col("small").alias("rid"), F.col("large").alias("other"), F.col("size_small").alias("size"))
+    ends = ends.unionByName(pairs.select(F.col("large").alias("rid"), F.col("small").alias("other"), F.col("size_large").alias("size")))
+    least = ends.groupBy("rid").agg(F.least(F.min("other"), F.col("rid")).alias("group"), F.max("size").alias("size"))
+    blocks = least.groupBy("group").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    cut = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    placed = pairs.join(least.select(F.col("rid").alias("small"), "group"), "small").join(blocks, "group")
+    placed = placed.select("small", "large", F.xxhash64("group", cut("small"), cut("large")).alias("place"))
+    placed = materialize(placed, "placed")
+    wanted = placed.select("place", F.col("small").alias("rid")).unionByName(placed.select("place", F.col("large").alias("rid"))).distinct()
+    mine = wanted.join(sets, "rid").select("place", F.lit(0).alias("kind"), F.col("rid").alias("small"), F.lit(0).cast("long").alias("large"), "items")
+    asked = placed.select("place", F.lit(1).alias("kind"), "small", "large", F.lit(None).cast("binary").alias("items"))
+    stream = mine.unionByName(asked).repartition(partitions(pairs), "place").sortWithinPartitions("place", "kind", "small")
 
-    def items(blob: bytes) -> np.ndarray:
-        n = len(blob) // 5
-        return np.frombuffer(blob, np.uint32, n).astype(np.int64) << 8 | np.frombuffer(blob, np.uint8, n, 4 * n)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, here = None, None
         for batch in batches:
-            found = np.empty(batch.num_rows)
-            for i, (x, y) in enumerate(zip(batch.column("small_items").to_pylist(), batch.column("large_items").to_pylist(), strict=True)):
-                a, b = items(x), items(y)
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                both = int((b[at] == a).sum())
-                found[i] = both / (len(a) + len(b) - both)
-            keep = pa.array(found >= threshold - 1e-12)
-            yield pa.RecordBatch.from_arrays([batch.column("small"), batch.column("large"), pa.array(found)], names=["small", "large", "similarity"]).filter(keep)
+            for place, rows in runs(batch, "place"):
+                if place != now:
+                    now, here = place, _Place(threshold)
+                for kind, part in runs(rows, "kind"):
+                    if kind == 0:
+                        here.put(part.column("small").to_pylist(), part.column("items").to_pylist())
+                        continue
+                    which, share = here.compare(part.column("small").to_numpy(), part.column("large").to_numpy())
+                    at = pa.array(which)
+                    yield pa.RecordBatch.from_arrays([part.column("small").take(at), part.column("large").take(at), pa.array(share)], names=["small", "large", "similarity"])
 
-    return both.mapInArrow(compare, "small long, large long, similarity double")
+    return stream.mapInArrow(run, "small long, large long, similarity double")
 
 
 def links(records: DataFrame, threshold: float, width: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of ``space, key, text`` and optionally ``probe``: only pairs with a probe
-    record are linked, all are by default. Links hold between distinct sets; records with equal sets
+    """(members, links) of ``space, key, text``. Links hold between distinct sets; records with equal sets
     share a rid. Both are stored.
 
     Null texts and texts of fewer words than ``width`` have no set and are in neither."""
-    if "probe" not in records.columns:
-        records = records.withColumn("probe", F.lit(True))
     profiled = profile(records, width)
-    order = segment_order(profiled)
-    stored = cells(records, order, threshold, width, bucket_count(profiled, threshold))
-    pairs = materialize(candidates(stored, threshold), "candidates")
-    found = materialize(verify(item_sets(records, pairs, width), pairs, threshold), "links")
-    return members(profiled), found
+    order = sequence_order(profiled)
+    first = cells(records, profiled, order, threshold, width)
+    pairs = materialize(meet(first, first, threshold, True), "candidates")
+    # One record of each set in a pair is read again.
+    involved = pairs.select(F.explode(F.array("small", "large")).alias("rid")).distinct()
+    who = members(profiled)
+    one = who.join(involved, "rid", "left_semi").groupBy("rid").agg(F.min(F.xxhash64("space", "key")).alias("mark"))
+    again = sift(records.select("space", "text", F.xxhash64("space", "key").alias("mark")), "mark", one.select("mark")).filter("hit")
+    found = materialize(verify(set_rows(again, width).select("rid", "items"), pairs, threshold), "links")
+    return who, found

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import _kernels as k
 from ._streams import partitions
-from .near import FILTER_WORDS, rid_filter
+from .near import sift
 
 U64 = np.uint64
 _PLACE = U64(24)
@@ -364,16 +364,7 @@ def _align(row: dict, length: int, mer: int) -> tuple | None:
 def _texts_of(texts: DataFrame, rids: DataFrame) -> DataFrame:
     """``cls, text`` once for each class asked for, and a few more: only those whose bit is set in a table
     of fixed size go into the shuffle."""
-    shared = texts.sparkSession.sparkContext.broadcast(rid_filter(rids))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            cls = batch.column("cls").to_numpy()
-            shift = (cls.view(U64) >> U64(FILTER_WORDS.bit_length() - 1)) % U64(64)
-            yield batch.filter(pa.array((bits[cls % FILTER_WORDS].view(U64) >> shift & U64(1)) == 1))
-
-    return texts.mapInArrow(keep, "cls long, text string").groupBy("cls").agg(F.first("text").alias("text"))
+    return sift(texts, "cls", rids).filter("hit").groupBy("cls").agg(F.first("text").alias("text"))
 
 
 def shared_spans(records: DataFrame, length: int = 200, mer: int = 100) -> DataFrame:
