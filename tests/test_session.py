@@ -13,6 +13,14 @@ def test_intermediate_tables_are_swept(spark):
     assert not os.path.exists(folder)
 
 
+def test_discarded_tables_go_alone(spark):
+    one, two = session.materialize(spark.range(5), "one"), session.materialize(spark.range(6), "two")
+    folders = set(os.listdir(session.scratch(spark)))
+    session.discard(one, spark.range(3))
+    assert {f for f in folders if f.startswith("two")} <= set(os.listdir(session.scratch(spark))) < folders
+    assert two.count() == 6
+
+
 def test_the_named_folder_is_used(spark):
     assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 

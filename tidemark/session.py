@@ -62,3 +62,14 @@ def released(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(_CLEANUP, before)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the files of stored intermediate frames that nothing reads any more. Files outside this
+    application's part of the shared folder stay."""
+    for df in frames:
+        spark = df.sparkSession
+        inside = f"/tidemark/{spark.sparkContext.applicationId}/"
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles() if inside in f}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
