@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, released
+from ..session import discard, materialize, released
 from . import near
 from ._streams import partitions
 
@@ -112,6 +112,7 @@ class SegmentIndex:
         names = [c.split()[0] for c in TABLES[table].split(", ")]
         rows = rows.select(*names)
         rows = rows if placed else rows.repartition(self.buckets, "bucket")
+        rows = rows.sortWithinPartitions("bucket", names[0])  # neighbours compress, and row groups have narrow ranges
         with released(self.spark):
             rows.write.mode(mode).partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{table}")
 
@@ -176,6 +177,7 @@ class SegmentIndex:
 
         kept = strings.join(cases, "number", "left_anti")
         self.append(kept, segments.join(kept.select("rid"), "rid", "left_semi"), values.join(cases, "number", "left_anti").select("v", "w").distinct())
+        discard(strings, segments, values, contested)
         return cases
 
 
