@@ -25,19 +25,22 @@ from __future__ import annotations
 import functools
 import json
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import discard, materialize, released
 from . import near
-from ._streams import partitions
+from ._streams import partitions, runs
 
 SPACE = "all"
 TABLES = {
-    "segments": "cell long, rid long, size int, rank int, bucket int",
+    "segments": "cells binary, rids binary, sizes binary, ranks binary, bucket int",
     "strings": "rid long, items binary, bucket int",
     "values": "v long, w long, bucket int",
 }
@@ -53,6 +56,24 @@ def _values(rows: DataFrame, hashed: str, text: str, *keep: str) -> DataFrame:
     return both.select(*keep, half(1).alias("v"), half(16).alias("w")).distinct()
 
 
+class Prepared(NamedTuple):
+    """Of new records: ``number, rid, size, items, batch``; ``rid, size, rank, cell, bucket, batch``; ``batch,
+    number, v, w, bucket``; ``batch, number``; ``batch, small, large``. Stored."""
+
+    strings: DataFrame
+    segments: DataFrame
+    values: DataFrame
+    known: DataFrame
+    inside: DataFrame
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for bucket, rows in runs(batch, "bucket"):
+            blobs = [rows.column(c).to_numpy().tobytes() for c in ("cell", "rid", "size", "rank")]
+            yield pa.RecordBatch.from_arrays([*(pa.array([b], pa.binary()) for b in blobs), pa.array([bucket], pa.int32())], names=["cells", "rids", "sizes", "ranks", "bucket"])
+
+
 @dataclass(frozen=True)
 class SegmentIndex:
     """An index stored under ``path``. Appends add files; ``rebuild`` orders the segments anew."""
@@ -109,59 +130,65 @@ class SegmentIndex:
         return rows.filter(F.col("bucket").isin(numbers)) if len(numbers) < self.buckets else rows
 
     def _write(self, table: str, rows: DataFrame, mode: str = "append", placed: bool = False) -> None:
-        names = [c.split()[0] for c in TABLES[table].split(", ")]
-        rows = rows.select(*names)
+        """Appends rows with their bucket. Segments lie sorted by value, many in a row of four arrays."""
+        first = {"segments": "cell", "strings": "rid", "values": "v"}[table]
         rows = rows if placed else rows.repartition(self.buckets, "bucket")
-        rows = rows.sortWithinPartitions("bucket", names[0])  # neighbours compress, and row groups have narrow ranges
+        rows = rows.sortWithinPartitions("bucket", first)
+        if table == "segments":
+            rows = rows.select("bucket", "cell", "rid", "size", "rank").mapInArrow(_fold, TABLES[table])
         with released(self.spark):
-            rows.write.mode(mode).partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{table}")
-
-    def strings(self, batch: DataFrame, text: str, number: str) -> DataFrame:
-        """``rid, size, items, number`` of the batch's records with words enough. Stored."""
-        rows = batch.select(F.lit(SPACE).alias("space"), F.col(text).alias("text"), F.col(number).cast("long").alias("number"))
-        return materialize(near.set_rows(rows, self.width, "number"), "strings")
-
-    def segments(self, strings: DataFrame) -> DataFrame:
-        """The selected segments of the batch's strings, each string once. Stored."""
+            rows.select(*[c.split()[0] for c in TABLES[table].split(", ")]).write.mode(mode).partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{table}")
+
+    def prepare(self, arrivals: DataFrame, vectors: DataFrame, number: str, batch: str, chunk: str, hashed: str, text: str) -> Prepared:
+        """What the judgement needs of one or more new batches: strings, selected segments, values, records
+        known by their id, and near strings inside each batch. Reads nothing of the index but the order."""
+        rows = arrivals.select(_batch(batch).alias("batch"), F.col(number).cast("long").alias("number"), F.col(chunk).alias("chunk"), F.col(hashed).alias("hashed"), F.col(text).alias("text"))
+        made = near.set_rows(rows.select(F.lit(SPACE).alias("space"), "text", "number"), self.width, "number")
+        strings = materialize(made.join(rows.select("number", "batch"), "number"), "strings")
         once = strings.groupBy("rid").agg(F.first("size").alias("size"), F.first("items").alias("items"))
-        made = near.cells_of_sets(once, self.order(), self.threshold).withColumn("bucket", self._bucket("cell"))
-        return materialize(made, "segments")
-
-    def append(self, strings: DataFrame, segments: DataFrame, values: DataFrame) -> None:
-        """Adds what was accepted."""
-        self._write("strings", strings.select("rid", "items").dropDuplicates(["rid"]).withColumn("bucket", self._bucket("rid")))
-        self._write("segments", segments)
-        self._write("values", values.withColumn("bucket", self._bucket("v")))
-
-    def probe(self, strings: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(``rid`` of the batch's strings that are stored or near a stored one, ``small, large`` of near
-        strings in the batch). Both are stored."""
-        stored = near.sift(self._load("segments", segments), "cell", segments.select("cell")).filter("hit")
-        met = near.meet(segments, stored, self.threshold, False).withColumn("known", F.lit(True))
-        own = near.meet(segments, segments, self.threshold, True).withColumn("known", F.lit(False))
-        pairs = materialize(met.unionByName(own), "candidates")
-        known = pairs.filter("known").select(F.col("large").alias("rid")).distinct().withColumn("bucket", self._bucket("rid"))
+        segments = near.cells_of_sets(once, self.order(), self.threshold).withColumn("bucket", self._bucket("cell"))
+        segments = materialize(segments.join(strings.select("batch", "rid").distinct(), "rid"), "segments")
+        values = materialize(_values(rows, "hashed", "text", "batch", "number").withColumn("bucket", self._bucket("v")), "values")
+        ids = rows.select("batch", "number", "chunk", F.xxhash64("chunk").alias("mark")).filter("chunk is not null")
+        there = near.sift(vectors.select(F.col(chunk).alias("chunk"), F.xxhash64(chunk).alias("mark")), "mark", ids.select("mark")).filter("hit")
+        known = materialize(ids.join(there.select("chunk"), "chunk", "left_semi").select("batch", "number"), "known")
+        met = materialize(near.meet(segments, segments, self.threshold, True, "batch"), "candidates")
+        pairs = materialize(met.select("small", "large").distinct(), "pairs")
+        found = near.verify(once.select("rid", "items"), pairs, self.threshold, once.select("rid", "size"))
+        inside = materialize(met.join(found.select("small", "large"), ["small", "large"], "left_semi"), "inside")
+        return Prepared(strings, segments, values, known, inside)
+
+    def probe(self, new: Prepared, batch: int) -> DataFrame:
+        """``rid`` of the batch's strings that are stored or near a stored one."""
+        segments = new.segments.filter(F.col("batch") == batch)
+        table = self.spark.sparkContext.broadcast(near.bit_table(segments.select("cell")))
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kinds = (("rids", np.int64), ("sizes", np.int32), ("ranks", np.int32))
+            for rows in batches:
+                cell = np.frombuffer(b"".join(rows.column("cells").to_pylist()), np.int64)
+                hit = near.in_table(table.value, cell)
+                if hit.any():
+                    rid, size, rank = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind)[hit] for c, kind in kinds)
+                    yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(size), pa.array(rank), pa.array(cell[hit])], names=["rid", "size", "rank", "cell"])
+
+        stored = self._load("segments", segments).drop("bucket").mapInArrow(find, near.CELLS)
+        pairs = materialize(near.meet(segments, stored, self.threshold, False), "candidates")
+        known = pairs.filter("small <> large").select(F.col("large").alias("rid")).distinct().withColumn("bucket", self._bucket("rid"))
         there = near.sift(self._load("strings", known), "rid", known.select("rid")).filter("hit").select("rid", "items")
-        sets = there.unionByName(strings.select("rid", "items"))
-        unequal = pairs.filter("small <> large").select("small", "large", "size_small", "size_large").distinct()
-        found = materialize(near.verify(sets, unequal, self.threshold).select("small", "large"), "near")
-        direct = pairs.filter("known").join(found, ["small", "large"], "left_semi").unionByName(pairs.filter("known and small = large"))
-        inside = pairs.filter("not known").join(found, ["small", "large"], "left_semi")
-        return direct.select(F.col("small").alias("rid")).distinct(), inside.select("small", "large")
-
-    def judge(self, batch: DataFrame, vectors: DataFrame, number: str, chunk: str, hashed: str, text: str) -> DataFrame:
+        sets = there.unionByName(new.strings.filter(F.col("batch") == batch).select("rid", "items"))
+        sizes = sets.groupBy("rid").agg(F.max(F.octet_length("items") / 8).alias("size"))
+        found = near.verify(sets, pairs.filter("small <> large"), self.threshold, sizes)
+        return found.select(F.col("small").alias("rid")).unionByName(pairs.filter("small = large").select(F.col("small").alias("rid"))).distinct()
+
+    def judge(self, new: Prepared, batch: int) -> DataFrame:
         """``number`` of the batch's cases; the others are appended. Stored."""
-        strings = self.strings(batch, text, number)
-        segments = self.segments(strings)
-        near_stored, inside = self.probe(strings, segments)
-        ids = batch.select(F.col(number).cast("long").alias("number"), F.xxhash64(chunk).alias("mark"), F.col(chunk).alias("chunk")).filter("chunk is not null")
-        there = near.sift(vectors.select(F.xxhash64(chunk).alias("mark"), F.col(chunk).alias("chunk")), "mark", ids.select("mark")).filter("hit")
-        values = materialize(_values(batch.withColumn("number", F.col(number).cast("long")), hashed, text, "number").withColumn("bucket", self._bucket("v")), "values")
+        strings, segments, values, known, inside = (df.filter(F.col("batch") == batch).drop("batch") for df in new)
         stored = near.sift(self._load("values", values), "v", values.select("v")).filter("hit")
         direct = (
-            ids.join(there.select("chunk").distinct(), "chunk", "left_semi").select("number")
+            known.select("number")
             .unionByName(values.join(stored.select("v", "w"), ["v", "w"], "left_semi").select("number"))
-            .unionByName(strings.join(near_stored, "rid", "left_semi").select("number"))
+            .unionByName(strings.join(self.probe(new, batch), "rid", "left_semi").select("number"))
         )
         direct = materialize(direct.distinct(), "direct")
 
@@ -170,17 +197,23 @@ class SegmentIndex:
         every = values.select("number", name("v", "v", "w").alias("v")).unionByName(strings.select("number", name("r", "rid").alias("v")))
         every = every.join(direct, "number", "left_anti")
         pairs = inside.select(name("r", "small").alias("v"), name("r", "large").alias("w"))
-        edges = materialize(pairs.unionByName(pairs.select(F.col("w").alias("v"), F.col("v").alias("w"))), "edges")
+        edges = pairs.unionByName(pairs.select(F.col("w").alias("v"), F.col("v").alias("w")))
         busy = every.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("v").unionByName(edges.select("v")).distinct()
         contested = materialize(every.join(busy, "v", "left_semi"), "contested")
         cases = materialize(direct.unionByName(_refuse(contested, edges)), "cases")
 
         kept = strings.join(cases, "number", "left_anti")
-        self.append(kept, segments.join(kept.select("rid"), "rid", "left_semi"), values.join(cases, "number", "left_anti").select("v", "w").distinct())
-        discard(strings, segments, values, contested)
+        self._write("strings", kept.select("rid", "items").dropDuplicates(["rid"]).withColumn("bucket", self._bucket("rid")))
+        self._write("segments", segments.join(kept.select("rid"), "rid", "left_semi"))
+        self._write("values", values.join(cases, "number", "left_anti").select("v", "w", "bucket").distinct())
+        discard(contested)
         return cases
 
 
+def _batch(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("long"), F.lit(-(2**62)))
+
+
 def already_known(
     arrivals: DataFrame, history: DataFrame, vectors: DataFrame, path: str, number: str = "arrivalNo", batch: str = "batchNo",
     chunk: str = "chunkId", hashed: str = "chunkHash", text: str = "chunkText", threshold: float = 0.6, width: int = 3,
@@ -192,9 +225,10 @@ def already_known(
     than ``width`` words are compared as a whole only; null ids match nothing; a null batch number comes
     first; repeated history rows count once; empty tables are fine."""
     index = SegmentIndex.create(history, text, hashed, path, threshold, width)
-    order = F.coalesce(F.col(batch), F.lit(-(2**31)))
-    numbers = sorted(r[0] for r in arrivals.select(order.alias("b")).distinct().collect())  # one row per delivery
-    found = [index.judge(arrivals.filter(order == n), vectors, number, chunk, hashed, text) for n in numbers]
+    new = index.prepare(arrivals, vectors, number, batch, chunk, hashed, text)
+    numbers = sorted(r[0] for r in arrivals.select(_batch(batch).alias("b")).distinct().collect())  # one row per delivery
+    found = [index.judge(new, n) for n in numbers]
+    discard(*new)
     none = arrivals.sparkSession.createDataFrame([], "number long")
     cases = functools.reduce(DataFrame.unionByName, found, none)
     return cases.select(F.col("number").cast(arrivals.schema[number].dataType).alias(number))
@@ -213,12 +247,13 @@ def _refuse(values: DataFrame, edges: DataFrame) -> DataFrame:
         all_values = by_value.unionByName(across).groupBy("v").agg(F.min("m").alias("m"))
         return rows.join(all_values, "v").groupBy("number").agg(F.min("m").alias("m"))
 
-    undecided, refused = values, []
+    decided = []
+    undecided = values
     while not undecided.isEmpty():
         first = least(undecided, undecided).filter("m >= number").select("number")
         fresh = undecided.join(first, "number", "left_semi")
         out = least(fresh, undecided).filter("m < number").select("number", F.lit(True).alias("out"))
-        decided = materialize(out.unionByName(first.select("number", F.lit(False).alias("out"))), "decided")
-        refused.append(decided.filter("out").select("number"))
-        undecided = materialize(undecided.join(decided, "number", "left_anti"), "undecided")
-    return functools.reduce(DataFrame.unionByName, refused, values.sparkSession.createDataFrame([], "number long"))
+        decided.append(materialize(out.unionByName(first.select("number", F.lit(False).alias("out"))), "decided"))
+        undecided = values.join(functools.reduce(DataFrame.unionByName, decided), "number", "left_anti")
+    none = values.sparkSession.createDataFrame([], "number long")
+    return functools.reduce(DataFrame.unionByName, [d.filter("out").select("number") for d in decided], none)

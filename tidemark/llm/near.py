@@ -53,7 +53,9 @@ COMMON = 3
 FILTER_WORDS = 1 << 17
 #: Members of sets in a block of the verification.
 BLOCK = 100_000
-CELLS = "cell long, rid long, size int, rank int"
+#: A cell is the upper 40 bits of a sequence's hash. Cells only choose candidates: two sequences in one cell
+#: can add a pair, never lose one.
+CELLS = "rid long, size int, rank int, cell long"
 SETS = "rid long, size int, items binary"
 
 
@@ -85,6 +87,22 @@ def sift(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return joined.withColumn("hit", F.coalesce(F.col("_bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("_at", "_word", "_bits")
 
 
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """The table of ``sift`` for Python: FILTER_WORDS words, a bit for each of the longs."""
+    word = F.pmod(F.col("_key"), F.lit(FILTER_WORDS)).cast("int")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(_key, {FILTER_WORDS.bit_length() - 1}), 64) as int))")
+    out = np.zeros(FILTER_WORDS, np.int64)
+    for r in keys.toDF("_key").groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect():  # FILTER_WORDS rows at most
+        out[r.word] = r.bits
+    return out.view(U64)
+
+
+def in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that are surely not in the table."""
+    shift = (keys.view(U64) >> U64(FILTER_WORDS.bit_length() - 1)) % U64(64)
+    return (table[keys % FILTER_WORDS] >> shift & U64(1)) == 1
+
+
 # --- the order of the sequences ---------------------------------------------------------------------
 
 PROFILE = "space string, key string, rid long, size int, slot int, blob binary"
@@ -224,7 +242,7 @@ def _first(h: np.ndarray, size: np.ndarray, level: np.ndarray, threshold: float)
 
 def _cell_batch(h: np.ndarray, size: np.ndarray, rid: np.ndarray, level: np.ndarray, threshold: float) -> pa.RecordBatch:
     cell, owner, rank = _first(h, size, level, threshold)
-    return pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(rid[owner]), pa.array(size[owner], pa.int32()), pa.array(rank, pa.int32())], names=["cell", "rid", "size", "rank"])
+    return pa.RecordBatch.from_arrays([pa.array(rid[owner]), pa.array(size[owner], pa.int32()), pa.array(rank, pa.int32()), pa.array((cell >> U64(24)).view(np.int64))], names=["rid", "size", "rank", "cell"])
 
 
 def cells_of_sets(sets: DataFrame, order: np.ndarray, threshold: float) -> DataFrame:
@@ -243,35 +261,55 @@ def cells_of_sets(sets: DataFrame, order: np.ndarray, threshold: float) -> DataF
 
 def cells(records: DataFrame, profiled: DataFrame, order: np.ndarray, threshold: float, width: int) -> DataFrame:
     """CELLS of ``space, key, text``: the first sequences of every distinct set, once. Records whose set
-    others have too (and a few more) are reduced to one by a shuffle of sets, the rest need none."""
+    others have too (and a few more) are reduced to one by a shuffle of their cells, the rest need none."""
     rows = profiled.filter("slot is null").select(F.xxhash64("space", "key").alias("mark"), "rid")
     many = rows.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     marked = sift(records.select("space", "text", F.xxhash64("space", "key").alias("mark")), "mark", rows.join(many, "rid", "left_semi").select("mark"))
     shared = records.sparkSession.sparkContext.broadcast(order)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, h, _, size, rid in sets_of(batch.column("space").to_pylist(), batch.column("text").to_pylist(), width):
                 yield _cell_batch(h, size, rid, shared.value, threshold)
 
-    single = marked.filter("not hit").select("space", "text").mapInArrow(run, CELLS)
-    copied = set_rows(marked.filter("hit"), width).groupBy("rid").agg(F.first("size").alias("size"), F.first("items").alias("items"))
-    return single.unionByName(cells_of_sets(copied, order, threshold))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for one in batches_of(batches):
+            rid, size, cell = (one.column(c).to_numpy() for c in ("rid", "size", "cell"))
+            heads = np.flatnonzero(one.column("rank").to_numpy() == 0)
+            fresh = [i for i, (a, r) in enumerate(zip(heads, rid[heads].tolist(), strict=True)) if not (r in seen or seen.add(r))]
+            blobs = [x.tobytes() for i, x in enumerate(np.split(cell, heads[1:])) if len(heads)]
+            yield pa.RecordBatch.from_arrays([pa.array(rid[heads[fresh]], pa.int64()), pa.array(size[heads[fresh]], pa.int32()), pa.array([blobs[i] for i in fresh], pa.binary())], names=["rid", "size", "cells"])
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.frombuffer(b, np.int64) for b in batch.column("cells").to_pylist()]
+            n = np.array([len(x) for x in each], np.int64)
+            flat = np.concatenate([*each, np.empty(0, np.int64)])
+            rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rid").to_numpy(), n)), pa.array(np.repeat(batch.column("size").to_numpy(), n), pa.int32()), pa.array(rank, pa.int32()), pa.array(flat)], names=["rid", "size", "rank", "cell"])
+
+    single = marked.filter("not hit").select("space", "text").mapInArrow(batches_of, CELLS)
+    copied = marked.filter("hit").select("space", "text").mapInArrow(fold, "rid long, size int, cells binary")
+    return single.unionByName(copied.groupBy("rid").agg(F.first("size").alias("size"), F.first("cells").alias("cells")).mapInArrow(unfold, CELLS))
 
 
 # --- pairs ------------------------------------------------------------------------------------------
 
 
-def meet(a: DataFrame, b: DataFrame, threshold: float, own: bool) -> DataFrame:
-    """``small, large, size_small, size_large``: the sets of CELLS ``a`` and ``b`` that meet often enough.
-    With ``own`` the two are the same table and each pair comes once; otherwise ``small`` is of ``a``."""
-    side = lambda df, x: df.select("cell", F.col("rid").alias(x), F.col("size").alias(f"s{x}"), F.col("rank").alias(f"r{x}"))
+def meet(a: DataFrame, b: DataFrame, threshold: float, own: bool, *keep: str) -> DataFrame:
+    """``small, large``: the sets of CELLS ``a`` and ``b`` that meet often enough. With ``own`` the two are
+    the same table and each pair comes once; otherwise ``small`` is of ``a``. Both have the columns
+    ``keep`` too, and pairs agree in them."""
+    side = lambda df, x: df.select("cell", *keep, F.col("rid").alias(x), F.col("size").alias(f"s{x}"), F.col("rank").alias(f"r{x}"))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("sx") + F.col("sy")) - 1e-9)
     left = F.least(F.col("sx") - F.col("rx"), F.col("sy") - F.col("ry"))
     near: Column = (F.col("sx") >= threshold * F.col("sy") - 1e-9) & (F.col("sy") >= threshold * F.col("sx") - 1e-9) & (left >= need - (COMMON - 1))
-    both = side(a, "x").join(side(b, "y"), "cell").filter(near & (F.col("x") < F.col("y")) if own else near)
-    seen = both.groupBy("x", "y", "sx", "sy").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.least(F.lit(COMMON), need))
-    return seen.select(F.col("x").alias("small"), F.col("y").alias("large"), F.col("sx").alias("size_small"), F.col("sy").alias("size_large"))
+    both = side(a, "x").join(side(b, "y"), ["cell", *keep]).filter(near & (F.col("x") < F.col("y")) if own else near)
+    # A meeting weighs so much that the least of COMMON and ``need`` meetings weigh COMMON.
+    weight = F.ceil(F.lit(COMMON) / F.least(F.lit(COMMON), need))
+    seen = both.groupBy(*keep, "x", "y").agg(F.sum(weight).alias("n")).filter(F.col("n") >= COMMON)
+    return seen.select(*keep, F.col("x").alias("small"), F.col("y").alias("large"))
 
 
 def embedding(items: np.ndarray) -> np.ndarray:
@@ -314,13 +352,12 @@ class _Place:
         return (np.concatenate(keep), np.concatenate(found)) if keep else (np.empty(0, np.int64), np.empty(0))
 
 
-def verify(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """``small, large, similarity`` of the pairs (as ``meet`` gives them, stored) that reach the threshold.
-    ``sets``: ``rid, items``, of all sets in a pair at least, a set possibly more than once."""
-    ends = pairs.select(F.col("small").alias("rid"), F.col("large").alias("other"), F.col("size_small").alias("size"))
-    ends = ends.unionByName(pairs.select(F.col("large").alias("rid"), F.col("small").alias("other"), F.col("size_large").alias("size")))
-    least = ends.groupBy("rid").agg(F.least(F.min("other"), F.col("rid")).alias("group"), F.max("size").alias("size"))
-    blocks = least.groupBy("group").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+def verify(sets: DataFrame, pairs: DataFrame, threshold: float, sizes: DataFrame) -> DataFrame:
+    """``small, large, similarity`` of the (stored) pairs that reach the threshold. ``sets``: ``rid, items``
+    of all sets in a pair at least, a set possibly more than once; ``sizes``: ``rid, size`` of them, once."""
+    ends = pairs.select(F.col("small").alias("rid"), F.col("large").alias("other")).unionByName(pairs.select(F.col("large").alias("rid"), F.col("small").alias("other")))
+    least = ends.groupBy("rid").agg(F.least(F.min("other"), F.col("rid")).alias("group"))
+    blocks = least.join(sizes, "rid").groupBy("group").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
     cut = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
     placed = pairs.join(least.select(F.col("rid").alias("small"), "group"), "small").join(blocks, "group")
     placed = placed.select("small", "large", F.xxhash64("group", cut("small"), cut("large")).alias("place"))
@@ -358,8 +395,9 @@ def links(records: DataFrame, threshold: float, width: int = 3) -> tuple[DataFra
     pairs = materialize(meet(first, first, threshold, True), "candidates")
     # One record of each set in a pair is read again.
     involved = pairs.select(F.explode(F.array("small", "large")).alias("rid")).distinct()
-    who = members(profiled)
+    who = materialize(members(profiled), "members")
     one = who.join(involved, "rid", "left_semi").groupBy("rid").agg(F.min(F.xxhash64("space", "key")).alias("mark"))
     again = sift(records.select("space", "text", F.xxhash64("space", "key").alias("mark")), "mark", one.select("mark")).filter("hit")
-    found = materialize(verify(set_rows(again, width).select("rid", "items"), pairs, threshold), "links")
+    sizes = who.groupBy("rid").agg(F.first("size").alias("size"))
+    found = materialize(verify(set_rows(again, width).select("rid", "items"), pairs, threshold, sizes), "links")
     return who, found
