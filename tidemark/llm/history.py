@@ -175,7 +175,7 @@ class SegmentIndex:
         stored = self._load("segments", segments).drop("bucket").mapInArrow(find, near.CELLS)
         pairs = materialize(near.meet(segments, stored, self.threshold, False), "candidates")
         known = pairs.filter("small <> large").select(F.col("large").alias("rid")).distinct().withColumn("bucket", self._bucket("rid"))
-        there = near.sift(self._load("strings", known), "rid", known.select("rid")).filter("hit").select("rid", "items")
+        there = near.sift(self._load("strings", known), "rid", known.select("rid"), 1 << 14).filter("hit").select("rid", "items")
         sets = there.unionByName(new.strings.filter(F.col("batch") == batch).select("rid", "items"))
         sizes = sets.groupBy("rid").agg(F.max(F.octet_length("items") / 8).alias("size"))
         found = near.verify(sets, pairs.filter("small <> large"), self.threshold, sizes)
@@ -184,7 +184,7 @@ class SegmentIndex:
     def judge(self, new: Prepared, batch: int) -> DataFrame:
         """``number`` of the batch's cases; the others are appended. Stored."""
         strings, segments, values, known, inside = (df.filter(F.col("batch") == batch).drop("batch") for df in new)
-        stored = near.sift(self._load("values", values), "v", values.select("v")).filter("hit")
+        stored = self._load("values", values)
         direct = (
             known.select("number")
             .unionByName(values.join(stored.select("v", "w"), ["v", "w"], "left_semi").select("number"))

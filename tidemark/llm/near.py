@@ -77,11 +77,11 @@ def sets_of(spaces: list[str], texts: list[str | None], width: int) -> Iterator[
         yield a, b, h, owner, size, k.mix(total + size.astype(U64)).view(np.int64)
 
 
-def sift(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+def sift(rows: DataFrame, key: str, wanted: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
     """``rows`` with ``hit``, false only where the long ``key`` is surely not in ``wanted``'s one column.
-    The keys must be hashes. A bit for each wanted key in a table of FILTER_WORDS rows is sent along."""
-    word = lambda c: F.pmod(F.col(c), F.lit(FILTER_WORDS)).cast("int")
-    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(`{c}`, {FILTER_WORDS.bit_length() - 1}), 64) as int))")
+    The keys must be hashes. A bit for each wanted key in a table of ``words`` rows is sent along."""
+    word = lambda c: F.pmod(F.col(c), F.lit(words)).cast("int")
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(`{c}`, {words.bit_length() - 1}), 64) as int))")
     table = wanted.toDF("_key").filter("_key is not null").groupBy(word("_key").alias("_word")).agg(F.bit_or(bit("_key")).alias("_bits"))
     joined = rows.withColumn("_at", word(key)).join(F.broadcast(table), F.col("_at") == F.col("_word"), "left")
     return joined.withColumn("hit", F.coalesce(F.col("_bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("_at", "_word", "_bits")
@@ -92,8 +92,8 @@ def bit_table(keys: DataFrame) -> np.ndarray:
     word = F.pmod(F.col("_key"), F.lit(FILTER_WORDS)).cast("int")
     bit = F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(_key, {FILTER_WORDS.bit_length() - 1}), 64) as int))")
     out = np.zeros(FILTER_WORDS, np.int64)
-    for r in keys.toDF("_key").groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect():  # FILTER_WORDS rows at most
-        out[r.word] = r.bits
+    found = keys.toDF("_key").groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # FILTER_WORDS rows at most
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return out.view(U64)
 
 
