@@ -11,7 +11,7 @@ from tidemark.embedders import EmbeddingClient, HashEmbedder, HttpEmbedder
 from tidemark.plans.pipeline import run
 from tidemark.sources import files, pdf
 from tidemark.sources.store import Store
-from tidemark.streaming.incremental import watch
+from tidemark.streaming.incremental import retry, watch
 
 
 def make_pdf(text: str, compress: bool = False) -> bytes:
@@ -206,6 +206,20 @@ def test_stream_of_files(spark, tmp_path):
     assert [r[0] for r in c.state()["documents"]] == ["a", "b"]
 
 
+def test_failed_files_of_a_stream_are_kept_and_read_again(spark, tmp_path):
+    c = Corpus(spark, tmp_path, app_name=f"stream-{tmp_path.name}")
+    c.put("a.pdf", "first text")
+    (c.dir / "b.pdf").write_bytes(b"no pdf at all")
+    watch(spark, c.config, HashEmbedder(4)).awaitTermination()
+    store = Store(spark, c.config.output_dir)
+    assert [(r.filePath.rpartition("/")[2], r.error[:10]) for r in store.failed().collect()] == [("b.pdf", "ValueError")]
+    assert [r[0] for r in c.state()["documents"]] == ["a"]
+    assert retry(spark, c.config, HashEmbedder(4)).changes["new"] == 0 and store.failed().count() == 1
+    c.put("b.pdf", "second text")
+    assert retry(spark, c.config, HashEmbedder(4)).changes["new"] == 1 and store.failed().count() == 0
+    assert [r[0] for r in c.state()["documents"]] == ["a", "b"] and retry(spark, c.config, HashEmbedder(4)) is None
+
+
 def test_config(monkeypatch):
     monkeypatch.setenv("INPUT_DIR", "/x")
     assert configs.load(chunk_size=10, overlap=1).input_dir == "/x"

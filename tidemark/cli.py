@@ -24,8 +24,10 @@ def main(argv: list[str] | None = None) -> int:
     spark = session(config.app_name, config.master)
     if spark.conf.get("spark.checkpoint.dir", None) is None:
         spark.conf.set("spark.checkpoint.dir", config.checkpoint_dir)
-    print(run(spark, config, HashEmbedder() if offline else None))
-    sweep(spark)
+    try:
+        print(run(spark, config, HashEmbedder() if offline else None))
+    finally:
+        sweep(spark)
     return 0
 
 

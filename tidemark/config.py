@@ -20,20 +20,11 @@ class Config:
 
     input_dir: str = "test-corpus"
     output_dir: str = "delta-output"
-    documents_table: str = "documents"
-    chunks_table: str = "chunks"
-    embeddings_table: str = "embeddings"
-    index_table: str = "index"
     chunk_size: int = 1000
     overlap: int = 100
     chunking_version: str = "v1"
     embedding_model: str = "mxbai-embed-large"
-    embedding_version: str = "v1"
-    embedding_batch_size: int = 32
-    embedding_dimension: int = 1024
     embedding_host: str = "http://localhost:11434"
-    num_shards: int = 4
-    publish_strategy: str = "incremental"
     app_name: str = "tidemark"
     master: str = "local[*]"
     checkpoint_dir: str = "checkpoints"

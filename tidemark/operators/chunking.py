@@ -54,11 +54,17 @@ def pieces(df: DataFrame, text: str, size: int, overlap: int) -> DataFrame:
     return exploded.select(*keep, "piece_no", cut(F.col("piece_no")).alias("piece")).filter(F.col("piece") != "")
 
 
+def indexed(cut: DataFrame, *key: str) -> DataFrame:
+    """``pieces`` with ``chunk_index`` in place of ``piece_no``: the emitted chunks of each key, counted from 0."""
+    index = F.row_number().over(Window.partitionBy(*key).orderBy("piece_no")) - 1
+    return cut.withColumn("chunk_index", index).drop("piece_no")
+
+
 def chunk_documents(docs: DataFrame, size: int = 1000, overlap: int = 100, version: str = "v1", stamp: Column | None = None) -> DataFrame:
-    """Chunk rows of Document rows. ``chunkIndex`` counts the emitted chunks of a documentId."""
-    cut = pieces(docs.select("documentId", "content"), "content", size, overlap)
-    index = F.row_number().over(Window.partitionBy("documentId").orderBy("piece_no")) - 1
-    rows = cut.withColumn("chunkIndex", index).withColumn("chunkHash", sha256_hex("piece"))
+    """Chunk rows of Document rows. ``chunkIndex`` counts the emitted chunks of a documentId. Texts are
+    spread by documentId before they are cut, which the count needs too: one shuffle, before the overlap."""
+    cut = pieces(docs.select("documentId", "content").repartition("documentId"), "content", size, overlap)
+    rows = indexed(cut, "documentId").withColumnRenamed("chunk_index", "chunkIndex").withColumn("chunkHash", sha256_hex("piece"))
     made = rows.select(
         chunk_id("documentId", "chunkIndex", "chunkHash").alias("chunkId"),
         "documentId",

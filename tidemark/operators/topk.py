@@ -22,7 +22,8 @@ def topk_cosine(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: i
 
     Rows are hashed into blocks of about ``block``, every query visits every block by an equi-join, and
     the best of each block are ranked before the blocks' best are."""
-    blocks = max(1, -(-rows.count() // block))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(parts, -(-rows.count() // block))  # so that the product is spread however few the rows are
     r = _unit(rows, key, vector, "neighbour").withColumn("_block", F.pmod(F.xxhash64("neighbour_id"), F.lit(blocks)).cast("int"))
     q = _unit(queries, key, vector, "query").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dot = F.aggregate(F.zip_with("_query", "_neighbour", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)

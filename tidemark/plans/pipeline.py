@@ -50,6 +50,8 @@ def index(spark: SparkSession, config: Config, documents: DataFrame, embedder: E
     previous = store.load("documents")
     current = conform(documents, DOCUMENT)
     n_failed = 0
+    if failed is not None:
+        store.keep_failed(failed, True)
     if failed is not None and (n_failed := failed.count()):
         current = current.unionByName(merge.only(previous, failed, "filePath"))
     diff.assert_unique(current, "filePath")

@@ -6,6 +6,7 @@ out ids ending in 2, the previous state those ending in 0 and has another text f
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from .embedders import HashEmbedder
 from .functions import text as fn
 from .operators import chunking, diff, embedding, merge, snapshots, topk
-from .schemas import DOCUMENT, conform
+from .schemas import DOCUMENT, EMBEDDING, conform
+from .session import materialize, scratch
+from .sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +55,8 @@ def previous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("contentHash", fn.sha256_hex("content"))
 
 
+#: Vectors whose numbers times 1,000 are whole numbers that a double writes in full.
+_FINITE = "embeddingVector is not null and forall(embeddingVector, x -> x is not null and not isnan(x) and abs(x) < 9000)"
 _LIGHT = ["documentId", "filePath", "fileName", "contentHash", "version"]
 
 
@@ -86,15 +91,44 @@ def _embed_incremental(s: SparkSession, d: str) -> DataFrame:
     return _vectors(merge.merge_embeddings(kept, made))
 
 
+def _stored_changes(s: SparkSession, d: str) -> tuple[diff.DocumentDelta, DataFrame]:
+    """(the four views, keys of what is new, changed or deleted) of one stored comparison."""
+    changes = materialize(_changes(s, d), "changes")
+    touched = changes.filter(F.col("change_type") != diff.UNCHANGED)
+    return diff.detect_changes(current(s, d), previous(s, d), changes), touched.select(F.substring_index("filePath", "/", -1).alias("documentId"), "filePath")
+
+
 def _merged_chunks(s: SparkSession, d: str) -> DataFrame:
-    parts = diff.detect_changes(current(s, d), previous(s, d))
+    parts, gone = _stored_changes(s, d)
     new = _chunks(merge.docs_to_process(parts.new, parts.changed))
-    return merge.merge_chunks(new, _chunks(previous(s, d)), _keys(s, d, diff.NEW, diff.CHANGED, diff.DELETED))
+    return merge.merge_chunks(new, _chunks(previous(s, d)), gone)
+
+
+def _merged_embeddings(s: SparkSession, d: str) -> DataFrame:
+    """Stored vectors of chunks that are there, and a vector for every chunk without one."""
+    chunks, stored = table(s, d, "chunks"), conform(table(s, d, "chunk_vectors"), EMBEDDING)
+    kept = embedding.embeddings_kept(stored, chunks)
+    made = embedding.embed_chunks(embedding.chunks_to_embed(chunks, stored), HashEmbedder(16))
+    return merge.merge_embeddings(kept, made).select("chunkId", "embeddingModel")
+
+
+def _loaded(s: SparkSession, d: str) -> DataFrame:
+    """The documents of a store that the three tables were committed to."""
+    store = Store(s, f"{scratch(s)}/store-{uuid.uuid4().hex}")
+    run = store.begin()
+    for name, source in (("documents", "doc_files"), ("chunks", "chunks"), ("embeddings", "chunk_vectors")):
+        store.write(run, name, table(s, d, source))
+    store.commit(run, {})
+    return store.load("documents")
+
+
+def _whole_numbers() -> F.Column:
+    """Vectors whose text is the same in every engine."""
+    return F.transform("embeddingVector", lambda x: F.floor(x * 1000).cast("double"))
 
 
 def _merged_documents(s: SparkSession, d: str) -> DataFrame:
-    parts = diff.detect_changes(current(s, d), previous(s, d))
-    gone = _keys(s, d, diff.NEW, diff.CHANGED, diff.DELETED)
+    parts, gone = _stored_changes(s, d)
     return merge.merge_documents(merge.docs_to_process(parts.new, parts.changed), previous(s, d), gone).select(*_LIGHT)
 
 
@@ -111,11 +145,11 @@ def queries() -> dict[str, Query]:
     return {
         "chunk_documents": lambda s, d: _chunks(documents(s, d)),
         "chunk_text": lambda s, d: chunking.pieces(documents(s, d), "content", 1000, 100).select("documentId", "piece"),
-        "chunk_with_index": lambda s, d: chunking.pieces(documents(s, d), "content", 512, 50).select("documentId", "piece_no", "piece"),
+        "chunk_with_index": lambda s, d: chunking.indexed(chunking.pieces(documents(s, d), "content", 40, 5), "documentId").select("documentId", "chunk_index", "piece"),
         "chunk_index": lambda s, d: chunking.chunk_documents(documents(s, d), 300, 30).select("documentId", "chunkIndex", F.length("chunkText").alias("n_chars")),
         "chunk_id": lambda s, d: text(s, d).select("doc_id", fn.chunk_id("doc_id", F.lit(7), fn.sha256_hex("text")).alias("chunk_id")),
         "scan_documents": lambda s, d: documents(s, d).select(*_LIGHT, "content"),
-        "load_snapshot": lambda s, d: conform(_files(s, d), DOCUMENT),
+        "load_snapshot": _loaded,
         "hash_sha256": lambda s, d: text(s, d).select("doc_id", fn.sha256_hex("text").alias("sha256")),
         "hash_md5": lambda s, d: text(s, d).select("doc_id", fn.md5_hex("text").alias("md5")),
         "java_trim": lambda s, d: text(s, d).select("doc_id", fn.java_trim("text").alias("trimmed")),
@@ -123,7 +157,7 @@ def queries() -> dict[str, Query]:
         "document_id_from_path": lambda s, d: _files(s, d).select("filePath", "processedAt", fn.document_id_from_path("filePath").alias("doc_key")),
         "file_name_of": lambda s, d: _files(s, d).select("filePath", "processedAt", fn.file_name_of("filePath").alias("name"), fn.document_id_of_file(fn.file_name_of("filePath")).alias("stem")),
         "embedding_id_model": lambda s, d: table(s, d, "chunk_vectors").select("embeddingId", "embeddingTimestamp", fn.embedding_id_by_model("chunkId", "embeddingModel").alias("id_by_model")),
-        "embedding_id_hash": lambda s, d: table(s, d, "chunk_vectors").select("chunkId", fn.embedding_id_by_vector("chunkId", fn.vector_hash("embeddingVector")).alias("id_by_vector")),
+        "embedding_id_hash": lambda s, d: table(s, d, "chunk_vectors").filter(_FINITE).select("chunkId", fn.embedding_id_by_vector("chunkId", fn.vector_hash(_whole_numbers())).alias("id_by_vector")),
         "delta_classify": _changes,
         "delta_new": _delta("new"),
         "delta_changed": _delta("changed"),
@@ -142,7 +176,7 @@ def queries() -> dict[str, Query]:
         "embeddings_kept": lambda s, d: _vectors(embedding.embeddings_kept(_stored_embeddings(s, d), _chunks(current(s, d)))),
         "chunks_to_embed": lambda s, d: embedding.chunks_to_embed(_chunks(current(s, d)), _stored_embeddings(s, d)).select("chunkId", "documentId", "chunkText"),
         "embed_incremental": _embed_incremental,
-        "merge_embeddings": _embed_incremental,
+        "merge_embeddings": _merged_embeddings,
         "embedding_stats": lambda s, d: embedding.embedding_stats(_chunks(current(s, d)), _stored_embeddings(s, d)),
         "topk_cosine": lambda s, d: (lambda e: topk.topk_cosine(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", 5))(table(s, d, "embeddings")),
         "p2_found": _p2,
@@ -222,7 +256,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "chunk_documents": f"WITH {_DOCS} {_sql_chunks('docs')}",
         "chunk_text": f"WITH {_DOCS} SELECT documentId, piece FROM ({_cuts('docs', 1000, 100)})",
-        "chunk_with_index": f"WITH {_DOCS} SELECT documentId, CAST(k AS INT) AS piece_no, piece FROM ({_cuts('docs', 512, 50)})",
+        "chunk_with_index": f"WITH {_DOCS} SELECT documentId, CAST(row_number() OVER (PARTITION BY documentId ORDER BY k) - 1 AS INT) AS chunk_index, piece FROM ({_cuts('docs', 40, 5)})",
         "chunk_index": f"WITH {_DOCS} SELECT documentId, chunkIndex, CAST(length(chunkText) AS INT) AS n_chars FROM ({_sql_chunks('docs', 300, 30)})",
         "chunk_id": "SELECT doc_id, concat_ws('_', CAST(doc_id AS VARCHAR), '7', substring(sha256(text), 1, 8)) AS chunk_id FROM documents",
         "scan_documents": f"WITH {_DOCS} SELECT {_SQL_LIGHT}, content FROM docs",
@@ -234,6 +268,8 @@ def oracle_sql() -> dict[str, str]:
         "document_id_from_path": r"SELECT filePath, processedAt, 'doc_' || substring(sha256(replace(filePath, '\', '/')), 1, 16) AS doc_key FROM doc_files",
         "file_name_of": r"SELECT filePath, processedAt, regexp_extract(filePath, '[^/]*$') AS name, regexp_replace(regexp_extract(filePath, '[^/]*$'), '\.pdf$', '') AS stem FROM doc_files",
         "embedding_id_model": "SELECT embeddingId, embeddingTimestamp, chunkId || '_' || regexp_replace(embeddingModel, '[^a-zA-Z0-9]', '_', 'g') AS id_by_model FROM chunk_vectors",
+        "embedding_id_hash": """SELECT chunkId, chunkId || '_' || substring(md5(array_to_string(list_transform(embeddingVector, lambda x: CAST(CAST(CAST(floor(x * 1000) AS BIGINT) AS DOUBLE) AS VARCHAR)), ',')), 1, 8) AS id_by_vector
+            FROM chunk_vectors WHERE embeddingVector IS NOT NULL AND len(list_filter(embeddingVector, lambda x: x IS NULL OR isnan(x) OR abs(x) >= 9000)) = 0""",
         "delta_classify": f"WITH {_DOCS} SELECT * FROM changes",
         "delta_new": kind("new", "cur"),
         "delta_changed": kind("changed", "cur"),
@@ -252,7 +288,8 @@ def oracle_sql() -> dict[str, str]:
         "embeddings_kept": f"WITH {_DOCS} SELECT {vector_rows} FROM ({chunks_before}) WHERE chunkId IN (SELECT chunkId FROM ({chunks_now}))",
         "chunks_to_embed": f"WITH {_DOCS} SELECT chunkId, documentId, chunkText FROM ({chunks_now}) WHERE chunkId NOT IN (SELECT chunkId FROM ({chunks_before}))",
         "embed_incremental": f"WITH {_DOCS} SELECT {vector_rows} FROM ({chunks_now})",
-        "merge_embeddings": f"WITH {_DOCS} SELECT {vector_rows} FROM ({chunks_now})",
+        "merge_embeddings": """SELECT chunkId, embeddingModel FROM chunk_vectors WHERE chunkId IN (SELECT chunkId FROM chunks)
+            UNION ALL SELECT DISTINCT chunkId, 'sha256-bytes' FROM chunks WHERE chunkId NOT IN (SELECT chunkId FROM chunk_vectors WHERE chunkId IS NOT NULL)""",
         "embedding_stats": f"WITH {_DOCS}, a AS (SELECT chunkId FROM ({chunks_before})), b AS (SELECT chunkId FROM ({chunks_now})) SELECT count(*) FILTER (WHERE a.chunkId IS NOT NULL AND b.chunkId IS NOT NULL) AS kept, count(*) FILTER (WHERE b.chunkId IS NULL) AS removed, count(*) FILTER (WHERE a.chunkId IS NULL) AS to_embed FROM a FULL JOIN b ON a.chunkId = b.chunkId",
         "topk_cosine": f"""SELECT query_id, neighbour_id, cosine, CAST(rank AS INT) AS rank FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, neighbour_id) AS rank FROM (

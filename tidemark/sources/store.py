@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import TABLES, conform, empty
 
+FAILED = "filePath string, error string"
+
 
 @dataclass(frozen=True)
 class Store:
@@ -101,6 +103,16 @@ class Store:
                 fs.delete(gone, True)
         return manifest
 
+    def keep_failed(self, failed: DataFrame, replace: bool) -> None:
+        """Stores ``filePath, error`` of files without text; a full scan replaces what was kept before."""
+        failed.select("filePath", "error").write.mode("overwrite" if replace else "append").parquet(self._path("failed").toString())
+
+    def failed(self) -> DataFrame:
+        """``filePath, error`` of the files kept as failed."""
+        if not self.exists("failed"):
+            return self.spark.createDataFrame([], FAILED)
+        return self.spark.read.schema(FAILED).parquet(self._path("failed").toString())
+
     def index_path(self) -> str:
         return self._path("retrieval_index").toString()
 
