@@ -19,6 +19,10 @@ def test_discarded_tables_go_alone(spark):
     session.discard(one, spark.range(3))
     assert {f for f in folders if f.startswith("two")} <= set(os.listdir(session.scratch(spark))) < folders
     assert two.count() == 6
+    parts = session.materialize(spark.range(20).selectExpr("id", "id % 3 as part"), "parts", "part")
+    assert parts.columns == ["id", "part"] and parts.filter("part = 1").count() == 7
+    session.discard(parts)
+    assert not any(f.startswith("parts") for f in os.listdir(session.scratch(spark)))
 
 
 def test_the_named_folder_is_used(spark):

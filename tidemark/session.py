@@ -44,12 +44,14 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes the frame as a table in the shared folder and reads it again. The lineage ends there
-    and the files outlive any executor; ``sweep`` removes them."""
+    and the files outlive any executor; ``sweep`` removes them. With ``by``, a column of few values, a
+    filter on it reads its rows alone."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     with released(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -70,6 +72,6 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         spark = df.sparkSession
         inside = f"/tidemark/{spark.sparkContext.applicationId}/"
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles() if inside in f}:
+        for folder in {"/".join([a, inside.strip("/"), b.split("/")[0]]) for a, found, b in (f.partition(inside) for f in df.inputFiles()) if found}:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
