@@ -13,11 +13,12 @@ def pairs(records: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFra
     """``space, key_a, key_b, similarity`` of ``space, key, text``: every pair of records at or above the
     threshold, key_a < key_b; records with equal sets have similarity 1. Repeated rows of a key count once."""
     who, found = near.links(records, threshold, width)
+    copied = who.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    linked = found.unionByName(copied.select(F.col("rid").alias("small"), F.col("rid").alias("large"), F.lit(1.0).alias("similarity")))
     a, b = (who.select("space", F.col("key").alias(f"key_{x}"), F.col("rid").alias(f"rid_{x}")) for x in "ab")
-    two = found.join(a, found["small"] == a["rid_a"]).join(b.drop("space"), F.col("large") == F.col("rid_b"))
-    two = two.select("space", F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), "similarity")
-    same = a.join(b.withColumnRenamed("space", "space_b"), (a["rid_a"] == F.col("rid_b")) & (a["space"] == F.col("space_b")) & (F.col("key_a") < F.col("key_b")))
-    return two.unionByName(same.select("space", "key_a", "key_b", F.lit(1.0).alias("similarity")))
+    two = linked.join(a, F.col("small") == F.col("rid_a")).join(b.withColumnRenamed("space", "space_b"), F.col("large") == F.col("rid_b"))
+    two = two.filter((F.col("space") == F.col("space_b")) & ((F.col("small") != F.col("large")) | (F.col("key_a") < F.col("key_b"))))
+    return two.select("space", F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), "similarity")
 
 
 def groups(records: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:

@@ -301,7 +301,7 @@ def meet(a: DataFrame, b: DataFrame, threshold: float, own: bool, *keep: str) ->
     """``small, large``: the sets of CELLS ``a`` and ``b`` that meet often enough. With ``own`` the two are
     the same table and each pair comes once; otherwise ``small`` is of ``a``. Both have the columns
     ``keep`` too, and pairs agree in them."""
-    side = lambda df, x: df.select("cell", *keep, F.col("rid").alias(x), F.col("size").alias(f"s{x}"), F.col("rank").alias(f"r{x}"))
+    side = lambda df, x: df.select(F.col("rid").alias(x), F.col("size").alias(f"s{x}"), F.col("rank").alias(f"r{x}"), *keep, "cell")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("sx") + F.col("sy")) - 1e-9)
     left = F.least(F.col("sx") - F.col("rx"), F.col("sy") - F.col("ry"))
     near: Column = (F.col("sx") >= threshold * F.col("sy") - 1e-9) & (F.col("sy") >= threshold * F.col("sx") - 1e-9) & (left >= need - (COMMON - 1))
@@ -396,7 +396,7 @@ def links(records: DataFrame, threshold: float, width: int = 3) -> tuple[DataFra
     # One record of each set in a pair is read again.
     involved = pairs.select(F.explode(F.array("small", "large")).alias("rid")).distinct()
     who = materialize(members(profiled), "members")
-    one = who.join(involved, "rid", "left_semi").groupBy("rid").agg(F.min(F.xxhash64("space", "key")).alias("mark"))
+    one = who.select("rid", F.xxhash64("space", "key").alias("mark")).join(involved, "rid", "left_semi").groupBy("rid").agg(F.min("mark").alias("mark"))
     again = sift(records.select("space", "text", F.xxhash64("space", "key").alias("mark")), "mark", one.select("mark")).filter("hit")
     sizes = who.groupBy("rid").agg(F.first("size").alias("size"))
     found = materialize(verify(set_rows(again, width).select("rid", "items"), pairs, threshold, sizes), "links")
