@@ -45,7 +45,7 @@ TABLES = {
     "values": "v long, w long, bucket int",
 }
 #: The history's segments are cut in so many turns, which bounds what is shuffled at a time.
-TURNS = 4
+TURNS = 2
 
 
 def _values(rows: DataFrame, hashed: str, text: str, *keep: str) -> DataFrame:
@@ -144,18 +144,18 @@ class SegmentIndex:
         known by their id, and near strings inside each batch. Reads nothing of the index but the order."""
         rows = arrivals.select(_batch(batch).alias("batch"), F.col(number).cast("long").alias("number"), F.col(chunk).alias("chunk"), F.col(hashed).alias("hashed"), F.col(text).alias("text"))
         made = near.set_rows(rows.select(F.lit(SPACE).alias("space"), "text", "number"), self.width, "number")
-        strings = materialize(made.join(rows.select("number", "batch"), "number"), "strings")
+        strings = materialize(made.join(rows.select("number", "batch"), "number"), "strings", "batch")
         once = strings.groupBy("rid").agg(F.first("size").alias("size"), F.first("items").alias("items"))
         segments = near.cells_of_sets(once, self.order(), self.threshold).withColumn("bucket", self._bucket("cell"))
-        segments = materialize(segments.join(strings.select("batch", "rid").distinct(), "rid"), "segments")
-        values = materialize(_values(rows, "hashed", "text", "batch", "number").withColumn("bucket", self._bucket("v")), "values")
+        segments = materialize(segments.join(strings.select("batch", "rid").distinct(), "rid"), "segments", "batch")
+        values = materialize(_values(rows, "hashed", "text", "batch", "number").withColumn("bucket", self._bucket("v")), "values", "batch")
         ids = rows.select("batch", "number", "chunk", F.xxhash64("chunk").alias("mark")).filter("chunk is not null")
         there = near.sift(vectors.select(F.col(chunk).alias("chunk"), F.xxhash64(chunk).alias("mark")), "mark", ids.select("mark")).filter("hit")
-        known = materialize(ids.join(there.select("chunk"), "chunk", "left_semi").select("batch", "number"), "known")
+        known = materialize(ids.join(there.select("chunk"), "chunk", "left_semi").select("batch", "number"), "known", "batch")
         met = materialize(near.meet(segments, segments, self.threshold, True, "batch"), "candidates")
         pairs = materialize(met.select("small", "large").distinct(), "pairs")
         found = near.verify(once.select("rid", "items"), pairs, self.threshold, once.select("rid", "size"))
-        inside = materialize(met.join(found.select("small", "large"), ["small", "large"], "left_semi"), "inside")
+        inside = materialize(met.join(found.select("small", "large"), ["small", "large"], "left_semi"), "inside", "batch")
         return Prepared(strings, segments, values, known, inside)
 
     def probe(self, new: Prepared, batch: int) -> DataFrame:
