@@ -2,8 +2,11 @@
 
 Method: every suspicious word is looked up in a trie of the corpus's vocabulary by a Levenshtein
 automaton, extended by the scanner's confusions as single edits, so that all candidates within the
-distance are found. Candidates are ranked by edits, then by whether the document has them, then by
-frequency; a word is misread if its best candidate differs by confusions only and is far more common.
+distance are found. A vocabulary word is kept under its half before and its half behind, so that a word
+with one edit meets only tries that share a half with it; where no word is within one edit, all words of
+like length are searched for two. Candidates are ranked by edits, then by the context: whether the
+document has the candidate beside the same neighbour, then whether it has it at all, then by frequency. A
+word is misread if its best candidate differs by confusions only and is far more common.
 Page furniture is found per document: page numbers form a rising sequence in one style that ends at
 the last line, headers stand at page tops and do not wrap like text. Then furniture goes, words broken
 at line ends are joined (unless the corpus writes them with the mark), misread words are replaced,
@@ -38,8 +41,9 @@ _STRIP = ".,;:!?()[]{}«»\"“”„'’‘…—–*"
 _CONJUNCTIONS = frozenset("und oder bzw and or et ou y o e".split())
 _CODE = re.compile(r"[A-Za-z]{1,4}-?\d{2,}|\d+[.,]?\d*$")
 _WORD = re.compile(r"\S+")
-_SHARD = 20_000
-#: Scanned text is set in lines; texts with longer ones were never scanned.
+#: Vocabulary words in a trie of words of like length, and slices that share the words asked for.
+_SHARD, _SLICES = 20_000, 4
+#: Scanned text is set in lines. A text that mostly stands in longer ones was never scanned.
 WRAPPED = 110
 
 
@@ -55,7 +59,6 @@ _STYLES = (
     ("bare", re.compile(r"(\d{1,4})$")),
     ("roman", re.compile(r"([ivxlc]{1,8})$")),
 )
-_PAGE_WORDS = frozenset("page seite página pagina blatt folio".split())
 _TITLE_WORD = re.compile(r"[^\W\d_]{4}")
 _LEADERS = re.compile(r"\.\s?\.\s?\.")
 _DIGITS = str.maketrans("lI|oOsSbgzZi", "111005569221")
@@ -106,12 +109,10 @@ def _number(line: str) -> list[tuple[str, int]]:
         if style == "roman":
             n = _roman(m[1])
         elif style == "word":
-            if not any(_near(s.split()[0].lower(), w) for w in _PAGE_WORDS):
-                continue
-            n = int(m[1])
+            n, style = int(m[1]), f"word {s.split()[0].lower()}"
         else:
             digits = m[1].translate(_DIGITS)
-            n = int(digits) if digits.isdigit() else None
+            n = int(digits) if digits.isdecimal() else None
             if n is None and style != "slash":
                 n = _roman(m[1])
         if n is not None:
@@ -120,8 +121,14 @@ def _number(line: str) -> list[tuple[str, int]]:
     return out
 
 
-def _page_numbers(lines: list[str]) -> list[tuple[int, int]]:
-    """(line, number) of the page numbers, upwards from the last line that is not blank."""
+def _alike(a: str, b: str) -> bool:
+    """Whether two styles are the same, a misread page word included."""
+    return a == b or (a.startswith("word ") and b.startswith("word ") and _near(a, b))
+
+
+def _page_numbers(lines: list[str], known: dict[str, tuple] | None = None) -> list[tuple[int, int]]:
+    """(line, number) of the page numbers, upwards from the last line that is not blank. A word with a
+    number is one if it comes again with the number before, or if ``known`` has it from other texts."""
     at = len(lines) - 1
     while at >= 0 and not lines[at].strip("\f \r\t"):
         at -= 1
@@ -135,18 +142,22 @@ def _page_numbers(lines: list[str]) -> list[tuple[int, int]]:
         readings += [(style, n) for n in range(1, 100) if (style, n) not in readings and _as_roman(n).translate(_STROKES) == same]
     best: list[tuple[int, int]] = []
     for style, n in readings:
-        found, want = [(at, n)], n - 1
+        found, want, styles = [(at, n)], n - 1, {style}
         # the gap to the next page number must be like a page (the last one may be short), so that lists
         # of numbers are no pages
         i = at - 1
         while i >= 0:
-            same = any(other == style and m == want for other, m in _number(lines[i].strip("\f")))
+            own = [other for other, m in _number(lines[i].strip("\f")) if m == want and any(_alike(s, other) for s in styles)]
+            same = bool(own)
             if not same and style.startswith("roman") and want > 0:  # strokes are easily taken for each other
                 same = lines[i].strip("\f \r\t").translate(_STROKES) == _as_roman(want).translate(_STROKES)
             if same and found[-1][0] - i >= (4 if len(found) > 1 else 2):
                 found.append((i, want))
+                styles.update(own)
                 want -= 1
             i -= 1
+        if style.startswith("word ") and len(found) < 2 and not (known and known.get(header_key(last), (0,))[0] >= 2):
+            continue
         if len(found) > len(best):
             best = found
     return best[::-1]
@@ -157,10 +168,16 @@ def _blank(line: str) -> bool:
 
 
 def _width(lines: list[str], taken: set[int]) -> int:
-    body = sorted(len(x.rstrip()) for i, x in enumerate(lines) if i not in taken and x.strip())
+    body = sorted(n for i, x in enumerate(lines) if i not in taken and x.strip() and (n := len(x.rstrip())) <= WRAPPED)
     return body[int((len(body) - 1) * 0.95)] if body else 0
 
 
+def _long(lines: list[str]) -> bool:
+    """Whether most of the text stands in lines too long for a page."""
+    sizes = [len(x.rstrip()) for x in lines]
+    return 2 * sum(n for n in sizes if n > WRAPPED) > sum(sizes)
+
+
 def header_key(line: str) -> str:
     """A header's shape: how the dictionary knows it."""
     return "\x02" + re.sub(r"\d+", "9", line.strip("\f \r\t").lower())
@@ -170,10 +187,10 @@ def furniture(lines: list[str], known: dict[str, tuple] | None = None) -> set[in
     """Lines that are page headers, footers or page numbers. Where a text has no page numbers, headers
     are the titles that stand on top of its pages or come again; ``known`` adds titles that are headers
     of other texts and stand in the middle of a sentence here."""
-    numbers = _page_numbers(lines)
+    numbers = _page_numbers(lines, known)
     out = {i for i, _ in numbers}
     width = _width(lines, out)
-    if not width or width > WRAPPED:
+    if not width or _long(lines):
         return out
     if numbers:
         for at, number in ((0, numbers[0][1]), *((i + 1, n + 1) for i, n in numbers[:-1])):
@@ -249,7 +266,7 @@ def _is_header(lines: list[str], at: int, number: int, width: int, taken: set[in
     embedded = re.match(r"(\S{1,6})\s{3,}\S|.*\S\s{3,}(\S{1,6})$", s)
     if embedded:
         shown = (embedded[1] or embedded[2]).translate(_DIGITS)
-        if (shown.isdigit() and int(shown) == number) or _roman((embedded[1] or embedded[2]).lower()) == number:
+        if (shown.isdecimal() and int(shown) == number) or _roman((embedded[1] or embedded[2]).lower()) == number:
             return True
     if s[-1] in ".!?:,;" or s[-1] in MARKS or _LEADERS.search(s):
         return False
@@ -421,7 +438,7 @@ def candidates(word: str, root: dict, most: int = 2) -> list[tuple[int, bool, st
 
 
 def _suspect(word: str) -> bool:
-    return word == "@" or (2 <= len(word) <= 30 and any(c.isalpha() for c in word) and not _CODE.match(word))
+    return word == "@" or (len(word) >= 2 and any(c.isalpha() for c in word) and not _CODE.match(word))
 
 
 def _sign(word: str) -> bool:
@@ -445,6 +462,9 @@ def _wanted(texts: list[str]) -> dict[str, list]:
             counts.setdefault(b.joined, [0, 0])
             counts.setdefault(b.hyphened, [0, 0])
         if not clean:
+            end = next((x for x in reversed(page.lines) if not _blank(x)), "")
+            if any(style.startswith("word ") for style, _ in _number(end.strip("\f"))):
+                counts.setdefault(header_key(end), [0, 0])
             for i, x in enumerate(page.lines):
                 if 5 <= len(x.strip()) <= 60 and x.rstrip()[-1] not in ".,;!?" and (i == 0 or _interrupts(page.lines, i)):
                     counts.setdefault(header_key(x), [0, 0])
@@ -452,28 +472,18 @@ def _wanted(texts: list[str]) -> dict[str, list]:
 
 
 def never_scanned(page: Page) -> bool:
-    return not page.furniture and any(len(x.rstrip()) > WRAPPED for x in page.lines)
+    return not page.furniture and _long(page.lines)
 
 
-def corrections(words: DataFrame) -> DataFrame:
-    """``entry, n, fixes`` of ``entry, n, c``: the words that are misread have the words meant, best first."""
-    # Words that may be meant: letters only. They go to shards of bounded size, and every suspect to all
-    # shards whose words can be within the distance, in slices, so no task holds more than a shard.
-    letters = F.col("entry").rlike(r"^[\p{L}]+(['’-][\p{L}]+)*$")
-    meant = words.filter(letters & (F.col("n") >= 2))
-    shards = max(1, -(-meant.count() // _SHARD))
-    top = meant.agg(F.max("n")).head()[0] or 0
-    # A word of letters that texts never scanned have too is a word of its own.
-    own = letters & (F.col("c") > 0) & (F.col("c") * 10 >= F.col("n"))
-    asks = words.filter(~own & ~F.col("entry").startswith("\x02") & (F.col("n") * F.when(letters, RATIO).otherwise(1) <= top) & F.length("entry").between(1, 30))
-    slices = partitions(words)
-    shard = F.pmod(F.xxhash64("entry"), F.lit(shards)).cast("int")
-    base = meant.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("kind"), "entry", "n")
-    query = asks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("entry"), F.lit(slices)).cast("int").alias("slice"), F.lit(1).alias("kind"), "entry", "n")
-    stream = base.unionByName(query).withColumn("place", F.col("shard") * slices + F.col("slice"))
-    stream = stream.repartition(slices, "place").sortWithinPartitions("place", "kind")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_FOUND = "entry string, fix string, fix_n long, edits int, glyph boolean"
+
+
+def _search(stream: DataFrame, most: int) -> DataFrame:
+    """_FOUND of ``place, kind, entry, n``: in each place the words of kind 1 against the trie of the words
+    of kind 0. All candidates by confusions are given, of the others the best."""
+    stream = stream.repartition(partitions(stream), "place").sortWithinPartitions("place", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known, root = None, {}, None
         for batch in batches:
             out: list[tuple] = []
@@ -485,27 +495,66 @@ def corrections(words: DataFrame) -> DataFrame:
                     if kind == 0:
                         known.update(pairs)
                         continue
-                    if root is None:
-                        root = trie(list(known))
+                    if not known:
+                        continue
+                    root = root or trie(list(known))
                     for w, n in pairs:
                         if not _suspect(w):
                             continue
-                        need = max(2, n * (RATIO_SIGN if _sign(w) else RATIO), RATIO_SIGN if _sign(w) else RATIO)
-                        for most in (1, 2):
-                            found = [c for c in candidates(w, root, most) if c[2] != w and known[c[2]] >= max(2, n)]
-                            if found:
-                                break
-                        good = [(e, -known[v], v, g) for e, g, v in found if known[v] >= need or not g]
-                        out += [(w, v, -m, e, g) for e, m, v, g in sorted(good)[:8]]
+                        ratio = RATIO_SIGN if _sign(w) else RATIO
+                        need = max(2, n * ratio, ratio)
+                        good = sorted((e, -known[v], v, g) for e, g, v in candidates(w, root, most) if v != w and known[v] >= max(2, n) and (known[v] >= need or not g))
+                        best = next((c for c in good if not c[3]), None)
+                        out += [(w, v, -m, e, g) for e, m, v, g in good if g or (e, m, v, g) == best]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["entry", "fix", "fix_n", "edits", "glyph"])
 
-    found = stream.mapInArrow(search, "entry string, fix string, fix_n long, edits int, glyph boolean")
-    # Of all shards' candidates: fewest edits, confusions before others, then the most common.
+    return stream.mapInArrow(run, _FOUND)
+
+
+def _halves(meant: DataFrame, asks: DataFrame) -> DataFrame:
+    """Places for one edit. It touches two characters of either word at most, so that the word meant has
+    its first or its last ceil((length - 2) / 2) characters in common with the one read, and is a character
+    longer or shorter at most."""
+    half = lambda n: F.ceil((n - 2) / F.lit(2)).cast("int")
+    ends = lambda n: F.array(F.struct(F.lit("a").alias("side"), F.substring("entry", F.lit(1), half(n)).alias("part")), F.struct(F.lit("z").alias("side"), F.when(half(n) > 0, F.right("entry", half(n))).otherwise("").alias("part")))
+    place = F.xxhash64("long", "end.side", "end.part", "slice")
+    n = F.length("entry")
+    words = meant.withColumn("long", n).filter("long > 0").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(_SLICES - 1)))).withColumn("end", F.explode(ends(F.greatest(F.lit(2), n))))
+    sought = asks.withColumn("slice", F.pmod(F.xxhash64("entry"), F.lit(_SLICES)).cast("int")).withColumn("long", F.explode(F.sequence(F.greatest(F.lit(1), n - 1), n + 1)))
+    sought = sought.withColumn("end", F.explode(ends(F.greatest(F.lit(2), F.col("long")))))
+    return words.select(place.alias("place"), F.lit(0).alias("kind"), "entry", "n").unionByName(sought.select(place.alias("place"), F.lit(1).alias("kind"), "entry", "n"))
+
+
+def _lengths(meant: DataFrame, asks: DataFrame) -> DataFrame:
+    """Places for two edits: all words at most two characters longer or shorter, a shard at a time."""
+    n = F.length("entry")
+    shards = meant.groupBy(n.alias("long")).agg(F.ceil(F.count(F.lit(1)) / _SHARD).cast("int").alias("shards"))  # a row for each length
+    place = F.xxhash64("long", "shard", "slice")
+    words = meant.withColumn("long", n).join(shards, "long").withColumn("shard", F.pmod(F.xxhash64("entry"), F.col("shards")).cast("int"))
+    words = words.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(_SLICES - 1))))
+    sought = asks.withColumn("long", F.explode(F.sequence(F.greatest(F.lit(1), n - 2), n + 2))).join(shards, "long")
+    sought = sought.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("slice", F.pmod(F.xxhash64("entry"), F.lit(_SLICES)).cast("int"))
+    return words.select(place.alias("place"), F.lit(0).alias("kind"), "entry", "n").unionByName(sought.select(place.alias("place"), F.lit(1).alias("kind"), "entry", "n"))
+
+
+def corrections(words: DataFrame) -> DataFrame:
+    """``entry, n, fixes`` of ``entry, n, c``: the words that are misread have all the words that may be
+    meant, the most common first."""
+    # Words that may be meant: letters only.
+    letters = F.col("entry").rlike(r"^[\p{L}]+(['’-][\p{L}]+)*$")
+    meant = words.filter(letters & (F.col("n") >= 2)).select("entry", "n")
+    top = meant.agg(F.max("n")).head()[0] or 0
+    # A word of letters that texts never scanned have too is a word of its own.
+    own = letters & (F.col("c") > 0) & (F.col("c") * 10 >= F.col("n"))
+    asks = words.filter(~own & ~F.col("entry").startswith("\x02") & (F.col("n") * F.when(letters, RATIO).otherwise(1) <= top) & (F.length("entry") > 0)).select("entry", "n")
+    once = materialize(_search(_halves(meant, asks), 1), "within-one").distinct()
+    twice = _search(_lengths(meant, asks.join(once, "entry", "left_anti")), 2)
+    # Fewest edits, confusions before others, then the most common.
     order = F.struct(F.col("edits"), (~F.col("glyph")).alias("other"), (-F.col("fix_n")).alias("m"), F.col("fix"))
-    best = found.groupBy("entry").agg(F.min(order).alias("best"), F.array_sort(F.collect_list(order)).alias("all"))
-    fixes = best.filter("not best.other").select("entry", F.transform(F.slice(F.filter("all", lambda x: ~x["other"] & (x["edits"] == F.col("best.edits"))), 1, 4), lambda x: x["fix"]).alias("fixes"))
+    best = once.unionByName(twice).groupBy("entry").agg(F.min(order).alias("best"), F.array_sort(F.collect_list(order)).alias("all"))
+    fixes = best.filter("not best.other").select("entry", F.transform(F.filter("all", lambda x: ~x["other"] & (x["edits"] == F.col("best.edits"))), lambda x: x["fix"]).alias("fixes"))
     return words.join(fixes, "entry", "left").select("entry", "n", "fixes")
 
 
@@ -517,17 +566,25 @@ def _lookup(asked: DataFrame) -> DataFrame:
 # --- findings and repair ----------------------------------------------------------------------------
 
 
-def _meant(word: str, known: dict[str, tuple], own: set[str]) -> str | None:
-    """The word meant by a misread one: of the best candidates, one that the document has itself."""
-    fixes = known.get(word, (0, None))[1]
-    if not fixes:
-        return None
-    return next((f for f in fixes if f in own), fixes[0])
+class _Context:
+    """A document's words, and which stand beside which."""
+
+    def __init__(self, page: Page) -> None:
+        words = [_bare(w) for _, _, w in page.tokens()]
+        self.words, self.beside = set(words), set(zip(words, words[1:], strict=False))
+
+    def meant(self, word: str, known: dict[str, tuple], before: str = "", after: str = "") -> str | None:
+        """The word meant by a misread one: of the best candidates one that the document has beside the
+        same neighbour, else one that it has, else the most common."""
+        fixes = known.get(word, (0, None))[1]
+        if not fixes:
+            return None
+        return min(enumerate(fixes), key=lambda x: ((before, x[1]) not in self.beside and (x[1], after) not in self.beside, x[1] not in self.words, x[0]))[1]
 
 
 def _resolve(page: Page, known: dict[str, tuple]) -> tuple[list[tuple[Broken, str | None]], list[tuple[int, int, str, str]]]:
     """Broken words to join with the word meant if misread; misread words (line, start, token, meant)."""
-    own = {_bare(w) for _, _, w in page.tokens()}
+    own = _Context(page)
     count = lambda w: known.get(w, (0, None))[0]
     joins: list[tuple[Broken, str | None]] = []
     for b in page.broken:
@@ -538,22 +595,24 @@ def _resolve(page: Page, known: dict[str, tuple]) -> tuple[list[tuple[Broken, st
         if with_mark > without or b.rest[:1].isdigit() and b.first.isupper():
             continue
         if not without:
-            meant = _meant(b.joined, known, own)
+            meant = own.meant(b.joined, known)
             if meant is None or "-" in meant:
-                if _meant(b.hyphened, known, own) or (count(first) and count(rest)) or meant:
+                if own.meant(b.hyphened, known) or (count(first) and count(rest)) or meant:
                     continue
             joins.append((b, meant))
         else:
-            joins.append((b, _meant(b.joined, known, own)))
+            joins.append((b, own.meant(b.joined, known)))
     taken = {(b.line, b.start) for b, _ in joins}
     misread = []
-    for i, start, token in page.tokens():
-        word = _bare(token)
-        if (i, start) not in taken and word and (meant := _meant(word, known, own)):
+    tokens = [(i, start, token, _bare(token)) for i, start, token in page.tokens()]
+    for at, (i, start, token, word) in enumerate(tokens):
+        if (i, start) in taken or not word:
+            continue
+        if meant := own.meant(word, known, tokens[at - 1][3] if at else "", tokens[at + 1][3] if at + 1 < len(tokens) else ""):
             misread.append((i, start, token, meant))
     kept = {id(b) for b, _ in joins}
     for b in page.broken:  # parts that stay apart are words of a compound
-        if id(b) not in kept and (meant := _meant(b.hyphened, known, own)):
+        if id(b) not in kept and (meant := own.meant(b.hyphened, known)):
             at = b.line if not meant.startswith(_bare(b.first)) else b.next_line
             misread.append((at, -1, "", meant))
     return joins, misread
