@@ -66,6 +66,23 @@ def test_long_periodic_texts(spark):
     assert found(spark, rows, 60, 30) == {("s", "x", 0, 40_000), ("s", "y", 0, 6_000), ("s", "z", 0, 80), ("s", "w", 0, 30_000), ("s", "v", 0, 200)}
 
 
+def test_long_texts_are_worked_on_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(spans, "STRETCH", 50)
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passages = [text(120) for _ in range(4)]
+    rows = [("s", f"k{i}", text(70) + rng.choice(passages)[rng.randrange(30) :] + text(rng.randrange(200)) + rng.choice(passages)) for i in range(12)]
+    assert found(spark, rows, 20, 8) == brute(rows, 20)
+
+
+def test_places_beyond_two_to_the_24(spark):
+    rng = random.Random(5)
+    unit = "".join(rng.choice("abcdefghij") for _ in range(250))
+    long = "".join(f"{i:07x} " for i in range(2_100_000))  # 16.8 million code points without a repetition
+    rows = [("s", "x", long + unit), ("s", "y", "start " + unit)]
+    assert {(k, b - a) for _, k, a, b in found(spark, rows, 200, 100)} == {("x", 251), ("y", 251)}
+
+
 def test_passage_in_many_records(spark):
     rng = random.Random(9)
     hot = "".join(rng.choice("abcdefghij") for _ in range(60))

@@ -35,6 +35,9 @@ U64 = np.uint64
 _PLACE = U64(24)
 #: Seeds in a bucket: what one task joins at a time.
 BUCKET = 1_000_000
+#: Longer texts are worked on in overlapping stretches of so many code points, which bounds memory and
+#: keeps places below 2**24.
+STRETCH = 1_000_000
 #: Occurrences that are matched with the same one.
 HUB = 256
 
@@ -93,28 +96,32 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
 
 def _seeds(classed: DataFrame, length: int, mer: int, buckets: int) -> DataFrame:
     """``bucket, blob`` of ``cls, text, salt``; a task works on each class once."""
+    stretch = max(STRETCH, 2 * length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            cls, texts, salts = [], [], []
+            cls, texts, salts, base = [], [], [], []
             for c, t, salt in zip(batch.column("cls").to_pylist(), batch.column("text").to_pylist(), batch.column("salt").to_pylist(), strict=True):
                 if c not in seen:
                     seen.add(c)
-                    cls.append(c), texts.append(t), salts.append(salt)
+                    # every window of ``length`` lies whole in a stretch
+                    for at in range(0, max(1, len(t) - length + 1), stretch - length + 1):
+                        cls.append(c), texts.append(t[at : at + stretch]), salts.append(salt), base.append(at)
             for a, b in k.slices(texts):
                 who, at, seed, lo, hi, context = minimizers(texts[a:b], length, mer)
                 if not len(who):
                     continue
-                own = np.array(cls[a:b], np.int64)
+                own, begin = np.array(cls[a:b], np.int64), np.array(base[a:b], np.int64)[who]
+                at, lo, hi = at + begin, lo + begin, hi + begin
                 seed = seed ^ np.array(salts[a:b], np.int64).view(U64)[who]  # spaces keep to themselves
                 bucket = ((k.mix(seed) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 numbers, heads = np.unique(bucket[by], return_index=True)
                 blobs = []
                 for part in np.split(by, heads[1:]):
-                    texts_here, local = np.unique(who[part], return_inverse=True)
-                    blobs.append(_pack(own[texts_here], local, at[part], seed[part], (at - lo)[part], (hi - lo)[part], context[part]))
+                    texts_here, local = np.unique(own[who[part]], return_inverse=True)
+                    blobs.append(_pack(texts_here, local, at[part], seed[part], (at - lo)[part], (hi - lo)[part], context[part]))
                 yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     return classed.mapInArrow(run, "bucket int, blob binary")
