@@ -203,6 +203,15 @@ def test_the_corpus_decides_by_shares():
     assert cut("Non. Anna", known) == ["Non.", "Anna"]  # frequent and never at a paragraph's end, but no small letter follows
 
 
+def test_unmatched_signs_cost_no_more_than_others():
+    import time
+
+    began = time.perf_counter()
+    assert sentences._pairs("(" * 200_000 + "”", 0, 200_001) == [] and len(sentences._pairs("(a) " * 50_000, 0, 200_000)) == 50_000
+    assert sentences._pairs("„(a“ b) «c» \"d\"", 0, 15) == [(0, 3), (8, 10), (12, 14)]
+    assert time.perf_counter() - began < 5
+
+
 def test_sentence_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " \n "), (4, "One. Two."), (4, "One. Two."), (5, "x" * 50_000)], "doc_id long, text string").withColumn("key", F.lit(0))
     rows = sentences.split(df, with_text=True).collect()
@@ -278,6 +287,64 @@ def test_candidates_are_complete():
     assert scans.candidates("fetrile", scans.trie(["fertile"]), 2)[0][1] is False
 
 
+def test_corrections_equal_brute_force(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdlmnriuo") for _ in range(n))
+    vocabulary = {word(rng.randint(1, 12)) for _ in range(400)} | {"l" * 40 + "modern", "rn", "m"}
+    asked = set()
+    for v in sorted(vocabulary):
+        for _ in range(2):
+            w = v
+            for _ in range(rng.randint(1, 2)):
+                seen, meant = rng.choice(scans.CONFUSIONS)
+                w = w.replace(meant, seen, 1) if meant in w else w
+            asked.add(w)
+    asked |= {"1" * 40 + "modern", word(6), "zzzz"}
+    asked -= vocabulary
+    words = spark.createDataFrame([(v, 100 + len(v), 0) for v in vocabulary] + [(w, 1, 0) for w in asked], "entry string, n long, c long")
+    got = {r.entry: r.fixes for r in scans.corrections(words).collect() if r.fixes}
+    root, want = scans.trie(sorted(vocabulary)), {}
+    for w in asked:
+        if not scans._suspect(w):
+            continue
+        for most in (1, 2):
+            near = [(e, not g, -100 - len(v), v) for e, g, v in scans.candidates(w, root, most) if v != w]
+            if near:
+                break
+        if near and not min(near)[1]:
+            want[w] = [v for e, other, _, v in sorted(near) if not other and e == min(near)[0]]
+    assert got == want and len(want) > 100
+
+
+def test_signs_that_are_no_decimal_numbers_are_no_pages():
+    for last in ("- ² -", "[²]", "p. ³", "② 3", "² / 4"):
+        assert scans.findings(f"some text\n{last}", {}) == [] and scans._page_numbers(["a", "b", last]) in ([], [(2, 4)])
+
+
+def test_one_long_line_drops_nothing():
+    lines = _lines(3, 12)
+    lines[4], lines[5] = "the clerk held beside the old mint a narrow con-", "veyor and the lamp was under the modern stable at"
+    text = "\n".join(lines)
+    known = {"conveyor": (9, None)}
+    assert scans.findings(text, known) == [(4, "hyphen")] == scans.findings(text + "\n" + "x" * 115, known)
+    assert "narrow conveyor and" in scans.repair(text + "\n" + "x" * 115, known)
+
+
+def test_page_words_are_known_by_repetition():
+    body = [_lines(n, 12) for n in range(3)]
+    pages = [*body[0], "Folge 3", *body[1], "Fo1ge 4", *body[2], "Folge 5"]
+    assert scans.furniture(pages) >= {12, 25, 38}
+    once = [*body[0], "Folge 3"]
+    assert scans.furniture(once) == set() and scans.furniture(once, {scans.header_key("Folge 3"): (5, None)}) == {12}
+
+
+def test_neighbours_rank_the_candidates():
+    page = scans.read("the old barn stood there. a burn hurts. the old bam fell")
+    context = scans._Context(page)
+    known = {"bam": (1, ["burn", "barn"])}
+    assert context.meant("bam", known, "old", "fell") == "barn" and context.meant("bam", known, "", "hurts") == "burn" == context.meant("bam", known)
+
+
 def test_lists_of_numbers_are_no_pages():
     lines = ["Some text that is long enough for a line here", "14", "842", "843", "more text that is long enough for a line"]
     assert scans.furniture(lines) == set()

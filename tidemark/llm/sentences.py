@@ -39,6 +39,7 @@ _FULL = set("。！？｡")
 _CLOSE = set("”’»«“\"」』）)]}›‹")
 #: What a quote sign may be closed by.
 _QUOTES = {"“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", '"': '"', "‹": "›", "（": "）", "(": ")"}
+_SIGNS = re.compile("[" + re.escape("".join(_QUOTES) + "”»“」』)）›") + "]")
 #: Abbreviations known without evidence, always followed by what they belong to.
 KNOWN = frozenset(
     "Dr Prof Mr Mrs Ms St Sr Sra Srta Dra Fig fig Sec No no p pp ll cf vs ca bzw Abb Nr art pág стр рис См им ул σελ εικ Βλ κ i.e e.g viz".split()
@@ -134,19 +135,21 @@ def _paragraphs(text: str) -> list[tuple[int, int]]:
 def _pairs(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """Outermost pairs of quotes and brackets; unmatched signs count for nothing."""
     open_at: list[int] = []
+    waiting: dict[str, list[tuple[int, int]]] = {}  # by closing sign: (depth, place) of the signs it closes
     found: list[tuple[int, int]] = []
-    for i in range(start, end):
-        c = text[i]
-        if c not in _QUOTES and c not in "”»“」』)）›":
-            continue
-        for depth in range(len(open_at) - 1, -1, -1):
-            if c in _QUOTES[text[open_at[depth]]]:
-                found.append((open_at[depth], i))
-                del open_at[depth:]
-                break
-        else:
-            if c in _QUOTES:
-                open_at.append(i)
+    for m in _SIGNS.finditer(text, start, end):
+        i, c = m.start(), m[0]
+        mine = waiting.get(c, [])
+        while mine and (mine[-1][0] >= len(open_at) or open_at[mine[-1][0]] != mine[-1][1]):
+            mine.pop()  # gone with a pair around it
+        if mine:
+            depth, place = mine.pop()
+            found.append((place, i))
+            del open_at[depth:]
+        elif c in _QUOTES:
+            for closing in _QUOTES[c]:
+                waiting.setdefault(closing, []).append((len(open_at), i))
+            open_at.append(i)
     outer: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if not outer or a > outer[-1][1]:
