@@ -53,6 +53,12 @@ def test_defined_cases(spark):
     assert run(spark, [], k=5) == {}
 
 
+def test_lists_grow_with_the_square_root():
+    rng = np.random.default_rng(3)
+    lists = lambda rows: len(vectors.Index(rng.normal(size=(900, 8)), rows, 16, 4).centroids)
+    assert [lists(n) for n in (10, 160, 256, 2500, 250_000)] == [1, 10, 16, 50, 500]
+
+
 def test_recall_on_the_tables(spark):
     df = table(spark, SMALL, "chunk_vectors")
     rows = [(r.embeddingModel, r.chunkId, r.embeddingVector) for r in df.collect()]

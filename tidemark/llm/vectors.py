@@ -2,9 +2,9 @@
 
 Method: an inverted file of coarse centroids with product-quantised residuals. Centroids and code
 books are fitted on a bounded sample; every row is indexed under its nearest centroid. A query visits
-the ``probes`` nearest lists, scores them asymmetrically (its own numbers against the quantised ones:
-the sum of the distance tables' entries, taken as one matrix product with the decoded codes), and the
-best ``rerank`` of a list are compared exactly.
+the ``probes`` nearest lists, scores them asymmetrically (its own numbers against the quantised ones),
+and the best ``rerank`` of a list are compared exactly. No distance tables are kept: the sum of a table's
+entries is taken as one matrix product with the decoded codes, and vectors travel whole to every list.
 
 Equal vectors are one class and are searched once; the answer for a class is its first k + 1 keys,
 so a vector that a third of all rows share costs one query and a join spread over salts. Lists longer
@@ -58,10 +58,11 @@ def _kmeans(x: np.ndarray, n: int, spherical: bool, rounds: int = 8, seed: int =
 class Index:
     """Centroids (lists, d) and code books (parts, 256, d / parts) of one space."""
 
-    def __init__(self, sample: np.ndarray, rows: int, per_list: int, most_lists: int, parts: int) -> None:
+    def __init__(self, sample: np.ndarray, rows: int, per_list: int, parts: int) -> None:
         unit = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32)
         self.parts = parts
-        self.centroids = _kmeans(unit, int(min(max(1, rows // per_list), most_lists, len(unit))), True)
+        # lists of per_list rows; beyond per_list of them, as many as the square root of the rows
+        self.centroids = _kmeans(unit, int(min(max(1, min(rows // per_list, max(rows**0.5, per_list))), len(unit))), True)
         rest = unit - self.centroids[np.argmax(unit @ self.centroids.T, 1)]
         cut = rest.reshape(len(unit), parts, -1)
         self.books = np.stack([_kmeans(cut[:, i], min(256, len(unit)), False) for i in range(parts)])
@@ -89,9 +90,10 @@ def _unpack(blobs: list[bytes], dimension: int) -> np.ndarray:
 
 def neighbours(
     vectors: DataFrame, key: str, vector: str, space: str, k: int = 5, least: float = -1.0, dimension: int = 64,
-    probes: int = 12, rerank: int = 128, sample_rows: int = 20_000, per_list: int = 256, most_lists: int = 4096, parts: int = 32, block: int = 4096,
+    probes: int = 12, rerank: int = 128, sample_rows: int = 20_000, per_list: int = 256, parts: int = 32, block: int = 4096,
 ) -> DataFrame:
-    """``space, key, neighbour, cosine, rank``; the cosine is rounded to 6 decimals."""
+    """``space, key, neighbour, cosine, rank``; the cosine is rounded to 6 decimals. There are at most
+    ``sample_rows`` lists: beyond the square of that in rows, fit on a larger sample."""
     if dimension % parts:
         raise ValueError("parts must divide the dimension")
     spark = vectors.sparkSession
@@ -114,7 +116,7 @@ def neighbours(
         # A bounded sample to fit on, spread by hash; every row is indexed below.
         part = mine.filter(F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / n) + 1)).select("vector").limit(sample_rows)
         found = np.array([r[0] for r in part.collect()] or [r[0] for r in mine.select("vector").limit(1000).collect()])
-        trained[name] = Index(found, n, per_list, most_lists, parts)
+        trained[name] = Index(found, n, per_list, parts)
     shared = spark.sparkContext.broadcast(trained)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +147,7 @@ def neighbours(
     assigned = materialize(classes.mapInArrow(assign, f"space {space_kind}, cls long, least_key {key_kind}, packed binary, codes binary, lists array<int>"), "assigned")
     home = assigned.withColumn("list", F.col("lists")[0])
     sizes = home.groupBy("space", "list").count().withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).select("space", "list", "blocks")
-    sizes = F.broadcast(sizes)  # most_lists rows per model at most
+    sizes = F.broadcast(sizes)  # sample_rows rows per model at most
     base = home.join(sizes, ["space", "list"]).select("space", "list", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("part"), F.lit(0).alias("kind"), "cls", "least_key", "packed", "codes")
     visits = assigned.select("space", "cls", "packed", F.explode("lists").alias("list")).filter("list >= 0").join(sizes, ["space", "list"])
     visits = visits.select("space", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(1).alias("kind"), "cls", F.lit(None).cast(key_kind).alias("least_key"), "packed", F.lit(None).cast("binary").alias("codes"))
