@@ -9,6 +9,7 @@ from tidemark import config as configs
 from tidemark.cli import main
 from tidemark.embedders import EmbeddingClient, HashEmbedder, HttpEmbedder
 from tidemark.plans.pipeline import run
+from tidemark.schemas import TABLES
 from tidemark.sources import files, pdf
 from tidemark.sources.store import Store
 from tidemark.streaming.incremental import retry, watch
@@ -129,6 +130,18 @@ def test_store_keeps_versions_and_text_ids(spark, tmp_path):
         store.commit("00000099-none", {})
 
 
+def test_rows_lost_after_the_write_stop_the_commit(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "out"))
+    run_id = store.begin()
+    for t, schema in TABLES.items():
+        store.write(run_id, t, spark.createDataFrame([], schema))
+    store.write(run_id + "x", "documents", spark.range(3).selectExpr("cast(id as string) documentId", "'' filePath", "'' fileName", "'' content", "'' contentHash", "0L processedAt", "'' version"))
+    assert store.written[run_id + "x", "documents"] == 3 and store.commit(run_id, {})["rows"] == {t: 0 for t in TABLES}
+    store.written[run_id, "chunks"] = 1
+    with pytest.raises(RuntimeError, match="chunks"):
+        store.verify(run_id)
+
+
 @pytest.mark.parametrize("compress", [False, True])
 def test_pdf_text(compress, tmp_path):
     data = make_pdf("Hello (PDF) é", compress)

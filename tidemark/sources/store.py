@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..schemas import TABLES, conform, empty
 
@@ -25,6 +26,7 @@ class Store:
     root: str
     fmt: str = "parquet"
     keep: int = 2
+    written: dict[tuple[str, str], int] = field(default_factory=dict, compare=False)
 
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root.rstrip("/"), *parts]))
@@ -71,14 +73,21 @@ class Store:
         return f"{(int(now['run'].split('-')[0]) + 1 if now else 1):08d}-{uuid.uuid4().hex[:8]}"
 
     def write(self, run: str, table: str, df: DataFrame) -> None:
-        conform(df, TABLES[table]).write.format(self.fmt).save(self.location(run, table))
+        """Counts the rows as they are written, for ``verify``."""
+        seen = Observation()
+        conform(df, TABLES[table]).observe(seen, F.count(F.lit(1)).alias("n")).write.format(self.fmt).save(self.location(run, table))
+        self.written[run, table] = seen.get["n"]
 
     def verify(self, run: str) -> dict[str, int]:
-        """Rows by table; raises where a table is missing."""
+        """Rows by table; raises where a table is missing or has other rows than were written."""
         missing = [t for t in TABLES if not self.exists("snapshots", run, t)]
         if missing:
             raise RuntimeError(f"snapshot {run} lacks {', '.join(missing)}")
-        return {t: self.load(t, run).count() for t in TABLES}
+        found = {t: self.load(t, run).count() for t in TABLES}
+        wrong = [t for t, n in found.items() if n != self.written.get((run, t), n)]
+        if wrong:
+            raise RuntimeError(f"snapshot {run} has other rows than were written to {', '.join(wrong)}")
+        return found
 
     def commit(self, run: str, details: dict) -> dict:
         """Verifies the run, then makes it current; older runs beyond ``keep`` are removed."""
