@@ -238,3 +238,36 @@ def test_counts_are_added_in_levels(spark, monkeypatch):
     monkeypatch.setattr(near, "FAN", 2)
     assert (near.sequence_order(profiled) == flat).all()
     assert sorted(flat[flat > 0])[-1] == round(8 * np.log2(41)) and (flat > 0).sum() == 41
+
+
+def test_meetings_of_arrays_are_those_of_the_join(spark, monkeypatch):
+    monkeypatch.setattr(near, "MEETINGS", 50)  # in many slices, some of one segment
+    rng = np.random.default_rng(3)
+    size = {r: int(rng.integers(1, 30)) for r in range(60)}
+    rows = [(r, size[r], i, int(c)) for r in size for i, c in enumerate(rng.choice(40, min(size[r], 12), replace=False))]
+    new, old = [x for x in rows if x[0] < 20], [x for x in rows if x[0] >= 10]
+
+    def arrays(part):
+        rid, n, rank, cell = (np.array(c, np.int64) for c in zip(*sorted(part, key=lambda x: x[3]), strict=True))
+        return cell, rid, n, rank
+
+    for own, a, b in ((False, new, old), (True, rows, rows)):
+        seen = {}
+        for small, large, n in near.meetings(arrays(a), arrays(b), 0.6, own):
+            for x, y, w in zip(small.tolist(), large.tolist(), n.tolist(), strict=True):
+                seen[x, y] = seen.get((x, y), 0) + w
+        want = near.meet(*(spark.createDataFrame(x, near.CELLS) for x in (a, b)), 0.6, own).collect()
+        assert want and {p for p, n in seen.items() if n >= near.COMMON} == {(r.small, r.large) for r in want}
+
+
+def test_a_long_chain_takes_no_further_jobs(spark, monkeypatch):
+    values = spark.createDataFrame([(i, v) for i in range(9) for v in (f"v{i}", f"v{i + 1}")] + [(20, "e"), (21, "f")], "number long, v string")
+    edges = spark.createDataFrame([("e", "f"), ("f", "e")], "v string, w string")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        assert {r[0] for r in history._refuse(values, edges).collect()} == {1, 3, 5, 7, 21}
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) <= 6
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.setattr(history, "ALONE", 0)
+    assert {r[0] for r in history._refuse(values, edges).collect()} == {1, 3, 5, 7, 21}

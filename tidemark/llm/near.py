@@ -53,6 +53,8 @@ COMMON = 3
 FILTER_WORDS = 1 << 17
 #: Members of sets in a block of the verification.
 BLOCK = 100_000
+#: Meetings that are looked at together.
+MEETINGS = 2_000_000
 #: A cell is the upper 40 bits of a sequence's hash. Cells only choose candidates: two sequences in one cell
 #: can add a pair, never lose one.
 CELLS = "rid long, size int, rank int, cell long"
@@ -245,16 +247,21 @@ def _cell_batch(h: np.ndarray, size: np.ndarray, rid: np.ndarray, level: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(rid[owner]), pa.array(size[owner], pa.int32()), pa.array(rank, pa.int32()), pa.array((cell >> U64(24)).view(np.int64))], names=["rid", "size", "rank", "cell"])
 
 
+def cell_batches(sets: pa.RecordBatch, level: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """CELLS of a batch of SETS."""
+    for at in range(0, sets.num_rows, 1024):
+        few = sets.slice(at, 1024)
+        h = np.frombuffer(b"".join(few.column("items").to_pylist()), U64)
+        yield _cell_batch(h, few.column("size").to_numpy().astype(np.int64), few.column("rid").to_numpy(), level, threshold)
+
+
 def cells_of_sets(sets: DataFrame, order: np.ndarray, threshold: float) -> DataFrame:
     """CELLS of SETS."""
     shared = sets.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                few = batch.slice(at, 1024)
-                h = np.frombuffer(b"".join(few.column("items").to_pylist()), U64)
-                yield _cell_batch(h, few.column("size").to_numpy().astype(np.int64), few.column("rid").to_numpy(), shared.value, threshold)
+            yield from cell_batches(batch, shared.value, threshold)
 
     return sets.select("rid", "size", "items").mapInArrow(run, CELLS)
 
@@ -312,6 +319,31 @@ def meet(a: DataFrame, b: DataFrame, threshold: float, own: bool, *keep: str) ->
     return seen.select(*keep, F.col("x").alias("small"), F.col("y").alias("large"))
 
 
+def meetings(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], threshold: float, own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The meetings of ``meet`` before they are summed up: (small, large, weight). ``a`` and ``b`` are arrays
+    of cells, rids, sizes and ranks; ``a`` is sorted by cell."""
+    (cell, x_rid, x_size, x_rank), (wanted, y_rid, y_size, y_rank) = a, b
+    values, start, count = np.unique(cell, return_index=True, return_counts=True)
+    if not len(values):
+        return
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    hit = np.flatnonzero(values[at] == wanted)
+    first, n = start[at[hit]], count[at[hit]]
+    ends, low = np.cumsum(n), 0
+    while low < len(hit):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] - n[low] + MEETINGS, "right")))
+        few = n[low:high]
+        y = np.repeat(hit[low:high], few)
+        x = np.arange(len(y)) + np.repeat(first[low:high] - (np.cumsum(few) - few), few)
+        low = high
+        sx, sy = x_size[x].astype(np.int64), y_size[y].astype(np.int64)
+        need = np.ceil(threshold / (1 + threshold) * (sx + sy) - 1e-9)
+        near = (sx >= threshold * sy - 1e-9) & (sy >= threshold * sx - 1e-9) & (np.minimum(sx - x_rank[x], sy - y_rank[y]) >= need - (COMMON - 1))
+        if own:
+            near &= x_rid[x] < y_rid[y]
+        yield x_rid[x[near]], y_rid[y[near]], np.ceil(COMMON / np.minimum(COMMON, need[near])).astype(np.int32)
+
+
 def embedding(items: np.ndarray) -> np.ndarray:
     """The popcounts of the fingerprint's SEGMENTS."""
     return np.bincount((items % U64(SEGMENTS)).astype(np.int64), minlength=SEGMENTS)

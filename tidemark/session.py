@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -66,6 +67,13 @@ def released(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Frees what ended queries left in the driver: plans, generated classes, broadcasts and the heap they
+    took. For loops of many queries; without it the driver grows to its limit before it collects."""
+    gc.collect()  # frames that Python still holds keep their plans in the JVM
+    spark._jvm.System.gc()
+
+
 def discard(*frames: DataFrame) -> None:
     """Removes the files of stored intermediate frames that nothing reads any more. Files outside this
     application's part of the shared folder stay."""
